@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import scalar as S
 from ..functions.joins import attach
 from ..functions.runtime import materialise
 from ..schema import PIXEL, band_columns
@@ -71,16 +70,14 @@ def ace_raw(table: DataFrame) -> DataFrame:
     """
     bands = band_columns(table)
     scored = attach(table, coherence_model(table), ["scene_id"])
-    centred = {f"_x{i}": F.col(c) - F.col("_mean")[i] for i, c in enumerate(bands)}
-    x = [F.col(f"_x{i}") for i in range(len(bands))]
-    g = sum((F.col("_u")[i] * x[i] for i in range(1, len(x))), F.col("_u")[0] * x[0])
-    terms = [F.col("_w")[k] * x[i] * x[j] for k, (i, j) in enumerate(np.transpose(np.triu_indices(len(x))).tolist())]
-    q = sum(terms[1:], terms[0])
-    scored = scored.withColumns(centred).withColumns({"_g": g, "_d": F.col("_t") * q})
-    ratio = F.col("_g") * F.abs(F.col("_g")) / F.when(F.col("_d") != 0, F.col("_d"))
-    score = F.when(F.col("_t").isNotNull(), S.clamp(F.coalesce(ratio, F.lit(0.0)), 0.0, 1.0))
-    return (scored.withColumn("score", score)
-            .drop(*centred, "_g", "_d", "_mean", "_u", "_t", "_w"))
+    n = len(bands)
+    centred = scored.selectExpr("*", *[f"{c} - _mean[{i}] AS _x{i}" for i, c in enumerate(bands)])
+    g = " + ".join(f"_u[{i}] * _x{i}" for i in range(n))
+    q = " + ".join(f"_w[{k}] * _x{i} * _x{j}" for k, (i, j) in enumerate(np.transpose(np.triu_indices(n)).tolist()))
+    ratio = centred.selectExpr("*", f"{g} AS _g", f"_t * ({q}) AS _d").selectExpr(
+        "*", "coalesce(_g * abs(_g) / nullif(_d, 0D), 0D) AS _r")
+    return ratio.selectExpr(*table.columns, "status",
+                            "CASE WHEN _t IS NOT NULL THEN least(greatest(_r, 0D), 1D) END AS score")
 
 
 def ace_score(signal: DataFrame, mask: DataFrame | None = None) -> DataFrame:

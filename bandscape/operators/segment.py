@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import tiles as tl
 from ..functions.joins import attach
@@ -54,86 +53,89 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(3) for j in range(i, 3)]
 
 
+def _v(i: int, j: int) -> str:
+    return f"v{min(i, j)}{max(i, j)}"
+
+
+def _minor(i: int, j: int) -> str:
+    """Signed cofactor of the symmetric 3×3 covariance."""
+    a, b = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+    minor = f"({_v(a[0], b[0])} * {_v(a[1], b[1])} - {_v(a[0], b[1])} * {_v(a[1], b[0])})"
+    return minor if (i + j) % 2 == 0 else f"(-{minor})"
+
+
+# Long formulas are SQL text: building them column by column costs the driver
+# more time than a round of a small archive takes.
+_DETERMINANT = " + ".join(f"{_v(0, j)} * {_minor(0, j)}" for j in range(3))
+
+
 def learn(assigned: DataFrame) -> DataFrame:
     """Share, mean, covariance inverse and determinant of every component.
 
     Sums are whole numbers, so they do not depend on row order.
     """
-    w = F.col("w")
-    c = [F.col(k).cast("bigint") for k in COLOURS]
     sums = assigned.groupBy("scene_id", "side", "component").agg(
         F.sum("w").alias("n"),
-        *[F.sum(w * c[i]).alias(f"s{i}") for i in range(3)],
-        *[F.sum(w * c[i] * c[j]).alias(f"q{i}{j}") for i, j in _pairs()])
+        *[F.expr(f"sum(w * {c})").alias(f"s{i}") for i, c in enumerate(COLOURS)],
+        *[F.expr(f"sum(w * {COLOURS[i]} * {COLOURS[j]})").alias(f"q{i}{j}") for i, j in _pairs()])
     # At most five rows per scene and side.
-    total = F.sum("n").over(Window.partitionBy("scene_id", "side"))
-    n = F.col("n").cast("double")
-    moments = sums.withColumn("share", n / total).withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(3)})
-    moments = moments.withColumns({f"v{i}{j}": F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _pairs()})
-
-    def det(v):
-        return (v(0, 0) * (v(1, 1) * v(2, 2) - v(1, 2) * v(1, 2))
-                - v(0, 1) * (v(0, 1) * v(2, 2) - v(1, 2) * v(0, 2))
-                + v(0, 2) * (v(0, 1) * v(1, 2) - v(1, 1) * v(0, 2)))
-
-    v = lambda i, j: F.col(f"v{min(i, j)}{max(i, j)}")
+    moments = sums.selectExpr("*", "double(n) / sum(n) OVER (PARTITION BY scene_id, side) AS share",
+                              *[f"s{i} / double(n) AS m{i}" for i in range(3)])
+    spread = moments.selectExpr("*", *[f"q{i}{j} / double(n) - m{i} * m{j} AS {_v(i, j)}" for i, j in _pairs()])
     # Singular by its rank: the bound is far above the rounding of the sums.
-    bound = F.greatest(F.lit(SINGULAR) * v(0, 0) * v(1, 1) * v(2, 2), F.lit(2.220446049250313e-16))
-    flat = moments.withColumn("_flat", det(v) <= bound)
-    fixed = flat.withColumns({f"v{i}{i}": F.col(f"v{i}{i}") + F.when(F.col("_flat"), NOISE).otherwise(0.0)
-                              for i in range(3)})
-    whole = fixed.withColumn("det", det(v))
-
-    def cofactor(i, j):
-        a, b = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
-        minor = v(a[0], b[0]) * v(a[1], b[1]) - v(a[0], b[1]) * v(a[1], b[0])
-        return minor if (i + j) % 2 == 0 else -minor
-
-    return whole.withColumns({f"i{i}{j}": cofactor(i, j) / F.col("det") for i, j in _pairs()}).select(
+    flat = spread.selectExpr(
+        "*", f"{_DETERMINANT} <= greatest({SINGULAR}D * v00 * v11 * v22, 2.220446049250313E-16D) AS _flat")
+    fixed = flat.withColumns({f"v{i}{i}": F.expr(f"v{i}{i} + if(_flat, {NOISE}D, 0D)") for i in range(3)})
+    return fixed.selectExpr("*", f"{_DETERMINANT} AS det").selectExpr(
         "scene_id", "side", "component", "n", "share", "m0", "m1", "m2", "det",
-        *[f"i{i}{j}" for i, j in _pairs()])
+        *[f"{_minor(i, j)} / det AS i{i}{j}" for i, j in _pairs()])
+
+
+_FIELDS = ["share", "m0", "m1", "m2", "det", *[f"i{i}{j}" for i, j in _pairs()]]
 
 
 def model_rows(components: DataFrame, by_side: bool) -> DataFrame:
     """Components as struct columns of one row per scene (and side)."""
-    fields = F.struct("share", "m0", "m1", "m2", "det", *[f"i{i}{j}" for i, j in _pairs()])
-    here = lambda k, *more: F.max(F.when((F.col("component") == k) & (more[0] if more else F.lit(True)), fields))
+    row = f"struct({', '.join(_FIELDS)})"
     if by_side:
-        return components.groupBy("scene_id", "side").agg(*[here(k).alias(f"k{k}") for k in range(COMPONENTS)])
+        return components.groupBy("scene_id", "side").agg(
+            *[F.expr(f"max(CASE WHEN component = {k} THEN {row} END)").alias(f"k{k}") for k in range(COMPONENTS)])
     return components.groupBy("scene_id").agg(
-        *[here(k, F.col("side") == s).alias(f"k{s}{k}") for s in (0, 1) for k in range(COMPONENTS)])
+        *[F.expr(f"max(CASE WHEN side = {s} AND component = {k} THEN {row} END)").alias(f"k{s}{k}")
+          for s in (0, 1) for k in range(COMPONENTS)])
+
 
+def _offset(k: str, i: int) -> str:
+    return f"({COLOURS[i]} - {k}.m{i})"
 
-def _density(k: Column) -> Column:
+
+def _density(k: str) -> str:
     """Gaussian density of a component at the row's colour, up to a constant."""
-    d = [F.col(c).cast("double") - k[f"m{i}"] for i, c in enumerate(COLOURS)]
-    form = sum((k[f"i{i}{j}"] * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in _pairs()), F.lit(0.0))
-    return F.exp(-0.5 * form) / F.sqrt(k["det"])
+    form = " + ".join(f"{k}.i{i}{j} * {_offset(k, i)} * {_offset(k, j)}" + ("" if i == j else " * 2D") for i, j in _pairs())
+    return f"exp(-0.5D * ({form})) / sqrt({k}.det)"
 
 
-def _best(worth: list[Column]) -> Column:
-    """Index of the largest value; the first one wins; nulls lose."""
-    ranked = [F.struct(F.coalesce(v, F.lit(float("-inf"))).alias("v"), F.lit(-i).alias("i")) for i, v in enumerate(worth)]
-    return -F.greatest(*ranked)["i"]
+def _closeness(k: str) -> str:
+    return "-(" + " + ".join(f"{_offset(k, i)} * {_offset(k, i)}" for i in range(3)) + ")"
 
 
-def assign(counts: DataFrame, components: DataFrame) -> DataFrame:
-    """Most likely component of each colour within its side."""
+def _choose(counts: DataFrame, components: DataFrame, worth) -> DataFrame:
+    """Component of the largest worth within a colour's side; the first one wins
+    and absent components lose."""
     ks = [f"k{k}" for k in range(COMPONENTS)]
+    ranked = ", ".join(f"struct(coalesce({worth(k)}, double('-Infinity')) AS v, {-i} AS i)" for i, k in enumerate(ks))
     return (attach(counts, model_rows(components, True), ["scene_id", "side"])
-            .withColumn("component", _best([_density(F.col(k)) for k in ks])).drop(*ks))
+            .withColumn("component", F.expr(f"-greatest({ranked}).i")).drop(*ks))
 
 
-def _nearest(counts: DataFrame, components: DataFrame) -> DataFrame:
-    """Component with the closest mean (one k-means assignment)."""
-    ks = [f"k{k}" for k in range(COMPONENTS)]
+def assign(counts: DataFrame, components: DataFrame) -> DataFrame:
+    """Most likely component of each colour."""
+    return _choose(counts, components, _density)
 
-    def closeness(k):
-        d = [F.col(c).cast("double") - k[f"m{i}"] for i, c in enumerate(COLOURS)]
-        return -(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
-    return (attach(counts, model_rows(components, True), ["scene_id", "side"])
-            .withColumn("component", _best([closeness(F.col(k)) for k in ks])).drop(*ks))
+def _nearest(counts: DataFrame, components: DataFrame) -> DataFrame:
+    """Component with the closest mean (one k-means assignment)."""
+    return _choose(counts, components, _closeness)
 
 
 def start_components(counts: DataFrame, kmeans_rounds: int = 5) -> DataFrame:
@@ -146,14 +148,13 @@ def start_components(counts: DataFrame, kmeans_rounds: int = 5) -> DataFrame:
 
 def unary_costs(table: DataFrame, components: DataFrame) -> DataFrame:
     """Negative log-likelihood of each pixel under both mixtures."""
-    names = [f"k{s}{k}" for s in (0, 1) for k in range(COMPONENTS)]
-
-    def cost(s):
-        parts = [F.coalesce(F.col(f"k{s}{k}.share") * _density(F.col(f"k{s}{k}")), F.lit(0.0)) for k in range(COMPONENTS)]
-        return -F.log(F.greatest(sum(parts[1:], parts[0]), F.lit(1e-300)))
+    def cost(s: int):
+        parts = " + ".join(f"coalesce(k{s}{k}.share * {_density(f'k{s}{k}')}, 0D)" for k in range(COMPONENTS))
+        return F.expr(f"-ln(greatest({parts}, 1E-300D))")
 
     return (attach(table, model_rows(components, False), ["scene_id"])
-            .withColumns({"bg_cost": cost(0), "fg_cost": cost(1)}).drop(*names))
+            .withColumns({"bg_cost": cost(0), "fg_cost": cost(1)})
+            .drop(*[f"k{s}{k}" for s in (0, 1) for k in range(COMPONENTS)]))
 
 
 def label_by_cost(table: DataFrame, trimap="trimap") -> DataFrame:
@@ -243,33 +244,48 @@ def potts_energy(labelled: DataFrame, beta: DataFrame) -> DataFrame:
         "scene_id", (F.col("unary") + F.coalesce("pairwise", F.lit(0.0))).alias("energy"))
 
 
-def refine_round(table: DataFrame, limit: float = OVERLAP_LIMIT, erosions: int = 100, base="base",
-                 bits: int | None = None) -> DataFrame:
-    """Mark ``violation`` pixels: those left of the mask ``label`` after eroding it
-    until at most a small share of the ``base`` mask is covered, yet outside of it.
+def stroke_violations(table: DataFrame, limit: float = OVERLAP_LIMIT, erosions: int = 100,
+                      base="base") -> DataFrame:
+    """Per scene: the number of ``erosions`` after which at most a small share of
+    the ``base`` mask is still covered, and how many pixels outside of that mask
+    (``violations``) are left then.
 
-    The number of erosions differs per scene.  With the erosion depth of every
-    pixel known, it follows from a histogram of depths, without eroding step by step.
+    ``table`` has the erosion ``depth`` of every pixel; a histogram of depths
+    answers every number of erosions at once.
     """
-    deep = materialise(erosion_depth(table, erosions + 1, bits=bits))
     on_base = F.col(base) > 0
-    counted = (deep.filter("depth > 0").groupBy("scene_id", "depth")
-               .agg(F.count("*").alias("n"), F.count_if(on_base).alias("hit")))
-    scenes = deep.groupBy("scene_id").agg(F.count_if(on_base).alias("positive"))
-    steps = (counted.unionByName(scenes.select("scene_id", F.lit(1).alias("depth"), F.lit(0).cast("bigint").alias("n"),
-                                               F.lit(0).cast("bigint").alias("hit")))
-             .groupBy("scene_id", "depth").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")))
-    # At most erosions + 1 rows per scene.
+    counted = table.groupBy("scene_id", F.greatest("depth", F.lit(0)).alias("depth")).agg(
+        F.count("*").alias("n"), F.count_if(on_base).alias("hit"))
+    # Depth 1 always takes part: it stands for the first erosion.
+    first = counted.select("scene_id").distinct().select(
+        "scene_id", F.lit(1).alias("depth"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "hit")])
+    steps = (counted.unionByName(first).groupBy("scene_id", "depth")
+             .agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")))
+    # At most erosions + 2 rows per scene.
     upto, whole = Window.partitionBy("scene_id").orderBy("depth"), Window.partitionBy("scene_id")
-    left = {c: F.sum(c).over(whole) - F.sum(c).over(upto) for c in ("n", "hit")}
+    positive = F.sum("hit").over(whole)
+    left = {f"left_{c}": F.sum(c).over(whole) - F.sum(c).over(upto) for c in ("n", "hit")}
+    curve = steps.withColumns({**left, "positive": positive})
     stop = (F.col("left_n") == 0) | (F.col("left_hit") / F.when(F.col("positive") > 0, F.col("positive")) < limit)
-    ends = (steps.withColumns({"left_n": left["n"], "left_hit": left["hit"]}).join(scenes, "scene_id")
-            .groupBy("scene_id")
-            .agg(F.coalesce(F.min(F.when(stop & (F.col("depth") <= erosions), F.col("depth"))), F.lit(erosions))
-                 .alias("erosions")))
-    return (attach(deep, ends, ["scene_id"])
-            .withColumn("violation", (F.col("depth") > F.col("erosions")) & (F.col(base) == 0))
-            .drop("depth"))
+    usable = F.col("depth").between(1, erosions)
+    at_end = F.struct("depth", (F.col("left_n") - F.col("left_hit")).alias("violations"))
+    return (curve.filter(usable).groupBy("scene_id")
+            .agg(F.coalesce(F.min(F.when(stop, at_end)), F.max(at_end)).alias("_end"),
+                 F.min(F.when(stop, F.col("depth"))).alias("_stop"))
+            .select("scene_id", F.coalesce("_stop", F.lit(erosions)).alias("erosions"), "_end.violations"))
+
+
+def refine_round(table: DataFrame, limit: float = OVERLAP_LIMIT, erosions: int = 100, base="base",
+                 bits: int | None = None) -> DataFrame:
+    """Mark ``violation`` pixels: those left of the mask ``label`` after eroding it
+    until at most a small share of the ``base`` mask is covered, yet outside of it."""
+    deep = materialise(erosion_depth(table, erosions + 1, bits=bits))
+    return _marked(deep, stroke_violations(deep, limit, erosions, base), base).drop("depth", "violations")
+
+
+def _marked(deep: DataFrame, ends: DataFrame, base="base") -> DataFrame:
+    return attach(deep, ends, ["scene_id"]).withColumn(
+        "violation", (F.col("depth") > F.col("erosions")) & (F.col(base) == 0))
 
 
 def _segment(table: DataFrame, components: DataFrame, beta: DataFrame, sweeps: int) -> tuple[DataFrame, DataFrame]:
@@ -296,19 +312,19 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
     active, components = _segment(table, components, beta, sweeps)
     finished = []
     for _ in range(rounds):
-        marked = materialise(refine_round(active, limit, erosions))
-        violating = materialise(marked.filter("violation").select("scene_id").distinct())
-        if violating.isEmpty():
+        deep = materialise(erosion_depth(active, erosions + 1))
+        ends = materialise(stroke_violations(deep, limit, erosions))
+        if ends.filter("violations > 0").isEmpty():
             break
-        finished.append(attach(marked, violating, ["scene_id"], "left_anti").select(*active.columns))
-        again = (attach(marked, violating, ["scene_id"], "inner")
+        marked = _marked(deep, ends)
+        finished.append(marked.filter("violations = 0").select(*active.columns))
+        again = (marked.filter("violations > 0")
                  .withColumn("score", F.when(F.col("violation"), 0.0).otherwise(F.col("score")))
                  .withColumn("trimap", guide).select(*active.columns))
-        model = components
-        active, learned = _segment(again, model, beta, sweeps)
+        active, learned = _segment(again, components, beta, sweeps)
         # Scenes that left the loop keep their last model.
         components = materialise(learned.unionByName(
-            attach(model, violating, ["scene_id"], "left_anti").select(*learned.columns)))
+            components.join(ends.filter("violations = 0"), "scene_id", "left_semi").select(*learned.columns)))
     for part in finished:
         active = active.unionByName(part)
     return _segment(active, components, beta, sweeps)[0].select(*columns, "trimap", "label")

@@ -63,27 +63,24 @@ def scene_moments(table: DataFrame, labelled: bool = False) -> DataFrame:
     bands = band_columns(table)
     pairs = band_pairs(bands)
     whole = all(isinstance(table.schema[c].dataType, _WHOLE) for c in bands)
-    aggs = [F.count("*").alias("n")]
+    aggs = {"n": "count(*)"}
     if whole:
-        aggs += [F.sum(F.col(c).cast("bigint")).alias(f"s_{c}") for c in bands]
-        aggs += [F.sum(F.col(a).cast("bigint") * F.col(b).cast("bigint")).alias(f"p_{a}_{b}") for a, b in pairs]
+        aggs |= {f"s_{c}": f"sum(bigint({c}))" for c in bands}
+        aggs |= {f"p_{a}_{b}": f"sum(bigint({a}) * bigint({b}))" for a, b in pairs}
     else:
-        aggs += [F.avg(c).alias(f"m{c[1:]}") for c in bands]
-        aggs += [F.covar_samp(a, b).alias(f"c_{a[1:]}_{b[1:]}") for a, b in pairs]
+        aggs |= {f"m{c[1:]}": f"avg({c})" for c in bands}
+        aggs |= {f"c_{a[1:]}_{b[1:]}": f"covar_samp({a}, {b})" for a, b in pairs}
     if labelled:
-        hit = F.col("label") == FOREGROUND
-        aggs += [F.count_if(hit).alias("n_target")]
-        aggs += [F.avg(F.when(hit, F.col(c))).alias(f"t{c[1:]}") for c in bands]
-    sums = table.groupBy("scene_id").agg(*aggs)
+        aggs["n_target"] = f"count_if(label = {FOREGROUND})"
+        aggs |= {f"t{c[1:]}": f"avg(CASE WHEN label = {FOREGROUND} THEN {c} END)" for c in bands}
+    sums = table.groupBy("scene_id").agg(*[F.expr(v).alias(k) for k, v in aggs.items()])
     if not whole:
         return sums
-    n = F.col("n").cast("double")
-    means = {f"m{c[1:]}": F.col(f"s_{c}") / n for c in bands}
-    # Dividing twice keeps every intermediate within double range at any size.
-    covs = {f"c_{a[1:]}_{b[1:]}":
-            (F.col(f"p_{a}_{b}") - F.col(f"s_{a}").cast("double") * F.col(f"s_{b}").cast("double") / n)
-            / F.when(n > 1, n - 1) for a, b in pairs}
-    return sums.withColumns({**means, **covs}).drop(*[f"s_{c}" for c in bands], *[f"p_{a}_{b}" for a, b in pairs])
+    kept = [c for c in sums.columns if c[:2] not in ("s_", "p_")]
+    return sums.selectExpr(
+        *kept, *[f"s_{c} / double(n) AS m{c[1:]}" for c in bands],
+        *[f"(p_{a}_{b} - double(s_{a}) * double(s_{b}) / double(n)) / CASE WHEN n > 1 THEN double(n - 1) END"
+          f" AS c_{a[1:]}_{b[1:]}" for a, b in pairs])
 
 
 def covariance(signal: DataFrame) -> DataFrame:

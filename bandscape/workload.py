@@ -30,9 +30,11 @@ def query(function: Query) -> Query:
     return function
 
 
-def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    # Adding 0.0 turns a negative zero into zero.
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
+def _rounded(df: DataFrame, *columns: str, digits: int | None = 6) -> DataFrame:
+    """Round sums whose last bits depend on row order; adding 0.0 turns a
+    negative zero into zero.  Row-wise arithmetic needs no digits."""
+    value = (lambda c: F.col(c)) if digits is None else (lambda c: F.round(F.col(c), digits))
+    return df.withColumns({c: value(c) + F.lit(0.0) for c in columns})
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -212,19 +214,19 @@ def zero_scores(spark, sf):
 @query
 def segment_attrs(spark, sf):
     return _rounded(SE.segment_attrs(fx.segments(spark, sf)), "x0", "y0", "x1", "y1", "length", "cx", "cy",
-                    "slope", digits=4)
+                    "slope", digits=None)
 
 
 @query
 def rotate_segments(spark, sf):
     turned = SE.rotate_segments(fx.segments(spark, sf), 20.0, 5.0, 0.5)
-    return _rounded(turned, "x0", "y0", "x1", "y1", "slope", digits=4)
+    return _rounded(turned, "x0", "y0", "x1", "y1", "slope", digits=None)
 
 
 @query
 def extend_segments(spark, sf):
     out = SE.extend_segments(fx.segments(spark, sf), 0.0, 0.0, 110.0, 12.0)
-    return _rounded(out, "x0", "y0", "x1", "y1", "slope", digits=4)
+    return _rounded(out, "x0", "y0", "x1", "y1", "slope", digits=None)
 
 
 @query
@@ -471,7 +473,7 @@ def reconcile(spark, sf):
 def segment_pairs(spark, sf):
     lines = fx.segments(spark, sf)
     follow = lines.select("scene_id", F.col("seg_id").alias("id1"), (F.col("seg_id") + 1).alias("id2")).distinct()
-    return _rounded(SE.segment_pairs(lines, follow), "px", "py", "distance", "distance_sq", digits=4)
+    return _rounded(SE.segment_pairs(lines, follow), "px", "py", "distance", "distance_sq", digits=None)
 
 
 @query
@@ -481,7 +483,7 @@ def segment_axis_hits(spark, sf):
         F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("y").alias("axis"),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") / 5000.0)
         .otherwise(F.col("o_totalprice") / 50000.0).alias("c"))
-    return _rounded(SE.segment_axis_hits(fx.segments(spark, sf), axes), "c", "px", "py", digits=4)
+    return _rounded(SE.segment_axis_hits(fx.segments(spark, sf), axes), "c", "px", "py", digits=None)
 
 
 @query

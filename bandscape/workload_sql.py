@@ -26,8 +26,8 @@ def stretch(v: str, lo: str, hi: str, top: str = "255.0") -> str:
             f" / nullif(CAST(({hi}) - ({lo}) AS DOUBLE), 0) * CAST({top} AS DOUBLE), 0) END")
 
 
-def r(v: str, digits: int = 6) -> str:
-    return f"round({v}, {digits}) + 0.0"
+def r(v: str, digits: int | None = 6) -> str:
+    return f"({v}) + CAST(0 AS DOUBLE)" if digits is None else f"round({v}, {digits}) + 0.0"
 
 
 B8 = [f"b{k}" for k in range(1, 9)]
@@ -214,14 +214,15 @@ def weighted(src: str, value: str, out: str) -> dict[str, str]:
 
 def median(src: str, value: str, radius: int, out: str) -> dict[str, str]:
     """Brute force: every pixel looks up its clamped neighbours."""
-    return {out: f"""
-  SELECT p.scene_id, p.y, p.x, list_sort(list(q.{value}))[{((2 * radius + 1) ** 2) // 2 + 1}] AS median
-  FROM {src} p CROSS JOIN (SELECT range AS dy FROM range({-radius}, {radius + 1}))
-  CROSS JOIN (SELECT range AS dx FROM range({-radius}, {radius + 1}))
-  JOIN (SELECT scene_id, max(y) AS my, max(x) AS mx FROM {src} GROUP BY scene_id) m ON p.scene_id = m.scene_id
-  JOIN {src} q ON q.scene_id = p.scene_id AND q.y = least(greatest(p.y + dy, 0), my)
-              AND q.x = least(greatest(p.x + dx, 0), mx)
-  GROUP BY ALL"""}
+    span = f"range({-radius}, {radius + 1})"
+    clamped = lambda c, d: f"CAST(least(greatest({c} + {d}, 0), last_{c}) AS INTEGER) AS n{c}"
+    return {f"{out}_wanted": f"""
+  SELECT p.scene_id, y, x, {clamped('y', 'dy')}, {clamped('x', 'dx')} FROM {src} p
+  JOIN (SELECT scene_id, max(y) AS last_y, max(x) AS last_x FROM {src} GROUP BY scene_id) USING (scene_id)
+  CROSS JOIN (SELECT range AS dy FROM {span}) CROSS JOIN (SELECT range AS dx FROM {span})""",
+            out: f"""
+  SELECT w.scene_id, w.y, w.x, list_sort(list(q.{value}))[{((2 * radius + 1) ** 2) // 2 + 1}] AS median
+  FROM {out}_wanted w JOIN {src} q ON q.scene_id = w.scene_id AND q.y = w.ny AND q.x = w.nx GROUP BY ALL"""}
 
 
 def eroded(src: str, n: int, out: str) -> dict[str, str]:
@@ -497,15 +498,15 @@ SELECT scene_id, y, x, CAST(CASE WHEN trimap IN ('FGD', 'PR_FGD') THEN 255 ELSE
     "pseudo_color": sql("SELECT scene_id, y, x, " + ", ".join(
         f"{u8(f'({_gamma(_dot(row, ['ux', 'uy', 'uz']))}) * 255.0')} AS {c}" for row, c in zip(_I, "rgb")) + " FROM back", COLOR),
     "zero_scores": sql(f"SELECT scene_id, y, x, {r('CASE WHEN c0 > 200 THEN 0 ELSE score END')} AS score FROM features"),
-    "segment_attrs": sql("SELECT scene_id, seg_id, " + ", ".join(f"{r(c, 4)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
-        + f", {r(_SLOPE, 4)} AS slope, {r('sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))', 4)} AS length,"
-        f" {r('x0 + (x1 - x0) * 0.5', 4)} AS cx, {r('y0 + (y1 - y0) * 0.5', 4)} AS cy FROM ordered"),
-    "rotate_segments": sql("SELECT scene_id, seg_id, " + ", ".join(f"{r(c, 4)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
-        + f", {r(_SLOPE, 4)} AS slope FROM turned", {"turned": "SELECT scene_id, seg_id, " + ", ".join(
+    "segment_attrs": sql("SELECT scene_id, seg_id, " + ", ".join(f"{r(c, None)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
+        + f", {r(_SLOPE, None)} AS slope, {r('sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))', None)} AS length,"
+        f" {r('x0 + (x1 - x0) * 0.5', None)} AS cx, {r('y0 + (y1 - y0) * 0.5', None)} AS cy FROM ordered"),
+    "rotate_segments": sql("SELECT scene_id, seg_id, " + ", ".join(f"{r(c, None)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
+        + f", {r(_SLOPE, None)} AS slope FROM turned", {"turned": "SELECT scene_id, seg_id, " + ", ".join(
         f"(x{i} - 20.0) * {math.cos(0.5)!r} - (y{i} - 5.0) * {math.sin(0.5)!r} + 20.0 AS x{i},"
         f" (x{i} - 20.0) * {math.sin(0.5)!r} + (y{i} - 5.0) * {math.cos(0.5)!r} + 5.0 AS y{i}" for i in (0, 1)) + " FROM ordered"}),
-    "extend_segments": sql("SELECT scene_id, seg_id, " + ", ".join(f"{r(c, 4)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
-        + f", {r(_SLOPE, 4)} AS slope FROM prolonged", {
+    "extend_segments": sql("SELECT scene_id, seg_id, " + ", ".join(f"{r(c, None)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
+        + f", {r(_SLOPE, None)} AS slope FROM prolonged", {
         # A line leaves a box where it meets the nearer of the two sides ahead.
         "slanted": """
   SELECT *, x1 - x0 AS gx, y1 - y0 AS gy, CASE WHEN (x1 - x0) * (y1 - y0) < 0 THEN 0.0 ELSE 12.0 END AS ye,
@@ -569,7 +570,7 @@ FROM (SELECT scene_id, """ + ", ".join(f"CAST(c{i}{s} AS INTEGER) AS c{i}{s}" fo
     "local_contrast": sql(f"SELECT scene_id, y, x, {r('contrast')} AS contrast FROM mosaic_contrast", contrast("mosaic")),
     "contrast_edges": sql("SELECT scene_id, y, x, CAST(edge AS INTEGER) AS edge FROM mosaic_edges", edges("mosaic")),
     "stroke_width": sql("SELECT * FROM mosaic_strokes", {**edges("mosaic"), **strokes("mosaic")}),
-    "local_threshold": sql(f"SELECT scene_id, y, x, n_edge, {r('threshold')} AS threshold, label FROM inked", {
+    "local_threshold": sql(f"SELECT scene_id, y, x, CAST(n_edge AS BIGINT) AS n_edge, {r('threshold')} AS threshold, label FROM inked", {
         "flagged": "SELECT *, value >= 150 AS edge FROM mosaic", **threshold("flagged", "4", "6", "inked")}),
     "binarise_local": sql("SELECT scene_id, y, x, label FROM inked", {
         **edges("mosaic"), **strokes("mosaic"),
@@ -617,17 +618,17 @@ FROM runs a JOIN runs b ON b.scene_id = a.scene_id AND b.y = a.y + 1 AND b.x0 <=
 SELECT scene_id, y, x, CAST(255 AS SMALLINT) AS label FROM labelled WHERE label > 0 AND b3 >= 160"""),
     "mask_minus": sql("SELECT scene_id, y, x FROM labelled WHERE label > 0 AND b3 < 160"),
     "segment_pairs": sql(f"""
-SELECT scene_id, id1, id2, {r('CASE WHEN d <> 0 THEN ax0 + n / d * gx END', 4)} AS px,
-       {r('CASE WHEN d <> 0 THEN ay0 + n / d * gy END', 4)} AS py, {r('sqrt(sq)', 4)} AS distance, {r('sq', 4)} AS distance_sq
+SELECT scene_id, id1, id2, {r('CASE WHEN d <> 0 THEN ax0 + n / d * gx END', None)} AS px,
+       {r('CASE WHEN d <> 0 THEN ay0 + n / d * gy END', None)} AS py, {r('sqrt(sq)', None)} AS distance, {r('sq', None)} AS distance_sq
 FROM (SELECT a.scene_id, a.seg_id AS id1, b.seg_id AS id2, a.x0 AS ax0, a.y0 AS ay0, a.x1 - a.x0 AS gx, a.y1 - a.y0 AS gy,
              (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS d,
              (b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0) AS n,
              (a.x1 - b.x0) * (a.x1 - b.x0) + (a.y1 - b.y0) * (a.y1 - b.y0) AS sq
       FROM ordered a JOIN ordered b ON b.scene_id = a.scene_id AND b.seg_id = a.seg_id + 1)"""),
     "segment_axis_hits": sql(f"""
-SELECT scene_id, seg_id, axis, {r('c', 4)} AS c,
-  {r("CASE WHEN axis = 'x' AND gx <> 0 THEN c WHEN axis = 'y' AND gy <> 0 THEN x0 + (c - y0) * gx / gy END", 4)} AS px,
-  {r("CASE WHEN axis = 'y' AND gy <> 0 THEN c WHEN axis = 'x' AND gx <> 0 THEN y0 + (c - x0) * gy / gx END", 4)} AS py
+SELECT scene_id, seg_id, axis, {r('c', None)} AS c,
+  {r("CASE WHEN axis = 'x' AND gx <> 0 THEN c WHEN axis = 'y' AND gy <> 0 THEN x0 + (c - y0) * gx / gy END", None)} AS px,
+  {r("CASE WHEN axis = 'y' AND gy <> 0 THEN c WHEN axis = 'x' AND gx <> 0 THEN y0 + (c - x0) * gy / gx END", None)} AS py
 FROM (SELECT o.*, x1 - x0 AS gx, y1 - y0 AS gy, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
              o_totalprice / CASE WHEN o_orderkey % 2 = 0 THEN 5000.0 ELSE 50000.0 END AS c
       FROM ordered o JOIN orders ON o_orderkey = scene_id)"""),
