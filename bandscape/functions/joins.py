@@ -1,47 +1,35 @@
-"""Joins that stay even when one scene holds a large part of all rows."""
+"""Joins and ranks that stay even when one scene holds a large part of all rows."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .runtime import materialise
 
-# Settings: most group rows and bytes that are sent to every executor, and the
-# number of slices a group is cut into beyond that.
-BROADCAST_ROWS = "bandscape.broadcast.maxRows"
-BROADCAST_BYTES = "bandscape.broadcast.maxBytes"
-SALT_SLICES = "bandscape.salt.slices"
+# Settings: most group rows that are sent to every executor (a row holds one
+# scene's statistics, a few hundred bytes), and the number of slices a group is
+# cut into beyond that.
+BROADCAST_ROWS = "spark.bandscape.broadcast.maxRows"
+SALT_SLICES = "spark.bandscape.salt.slices"
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(name, str(default)))
 
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    text = json.dumps(schema.jsonValue()).replace('"nullable": false', '"nullable": true')
-    return T.StructType.fromJson(json.loads(text))
-
-
 def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``groups`` (one row per key) to every row of ``df``.
 
-    At most one row more than the limit is fetched, which is the size check: a
-    group table within the limits is broadcast, so ``df`` is not shuffled, and
-    it is computed once and leaves no lineage behind.  A larger one is written
-    out, and both sides are shuffled on the keys plus a salt drawn from the row
-    content: each group is cut into slices, so one hot group never lands in one
-    task.
+    The group table is computed once, written, and counted from its footers.
+    Within the row limit it is broadcast, so ``df`` is not shuffled.  Beyond it,
+    both sides are shuffled on the keys plus a salt drawn from the row content:
+    each group is cut into slices, so one hot group never lands in one task.
     """
-    limit = _setting(df, BROADCAST_ROWS, 100_000)
-    sample = groups.limit(limit + 1).toArrow()
-    if sample.num_rows <= limit and sample.nbytes <= _setting(df, BROADCAST_BYTES, 64 << 20):
-        small = df.sparkSession.createDataFrame(sample, _nullable(groups.schema))
-        return df.join(F.broadcast(small), keys, how)
-    return salted_join(df, materialise(groups), keys, how)
+    groups = materialise(groups)
+    if groups.count() <= _setting(df, BROADCAST_ROWS, 100_000):
+        return df.join(F.broadcast(groups), keys, how)
+    return salted_join(df, groups, keys, how)
 
 
 def salted_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -51,3 +39,19 @@ def salted_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "l
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(slices)).cast("int"))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group from 1 in ``order``, however large a group is.
+
+    Rows are split by ranges of keys and order, so a large group spans many
+    parts; a row's number is its place in its part plus the sizes of earlier parts.
+    """
+    parts = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part")         # one row per part
+    starts = sizes.select(*keys, "_part", (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return (attach(parts, starts, [*keys, "_part"])
+            .withColumn(out, (F.col("_start") + F.row_number().over(inside)).cast("int"))
+            .drop("_part", "_start"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as tl
 from ..functions.joins import attach
+from ..functions.runtime import materialise
 from ..functions.scalar import stretch
 from ..schema import PIXEL
 from .bands import minmax_columns, to_gray
@@ -157,30 +158,36 @@ def derived_images(df: DataFrame, border: int = 18, bits: int | None = None) ->
     return minmax_columns(colour.drop("_lo", "_hi"), ["scene_id"], {"gray_norm": F.col("gray")}, 0.0, 1.0, False)
 
 
-def balanced_sample(table: DataFrame, n: int = 1000, block: int = 4096) -> DataFrame:
+def balanced_sample(table: DataFrame, n: int = 1000, rows: int = 1024, columns: int = 4096) -> DataFrame:
     """Equally many foreground (255) and background (0) pixels per scene, evenly
     spaced in raster order; other labels take no part.
 
     The raster position is the number of earlier pixels of the class: counts per
-    row block are added up per scene, so no task sorts a whole scene.
+    row strip are added up within blocks of rows and then over the blocks, so no
+    task sorts a whole scene.
     """
-    labelled = table.filter(F.col("label").isin(0, 255)).withColumn("_block", F.floor(F.col("x") / block))
-    strip = ["scene_id", "label", "y", "_block"]
-    counts = labelled.groupBy(*strip).agg(F.count("*").alias("_c"))
-    earlier = Window.partitionBy("scene_id", "label").orderBy("y", "_block")    # strips, not pixels
-    starts = counts.withColumn("_start", F.sum("_c").over(earlier) - F.col("_c")).drop("_c")
-    sizes = (counts.groupBy("scene_id")
+    labelled = table.filter(F.col("label").isin(0, 255)).withColumns(
+        {"_yb": F.floor(F.col("y") / rows), "_xb": F.floor(F.col("x") / columns)})
+    block, strip = ["scene_id", "label", "_yb"], ["scene_id", "label", "_yb", "y", "_xb"]
+    strips = materialise(labelled.groupBy(*strip).agg(F.count("*").alias("_c")))
+    blocks = strips.groupBy(*block).agg(F.sum("_c").alias("_c"))
+    above = Window.partitionBy("scene_id", "label").orderBy("_yb")              # one row per block
+    starts = blocks.select(*block, (F.sum("_c").over(above) - F.col("_c")).alias("_before"))
+    earlier = Window.partitionBy(*block).orderBy("y", "_xb")                    # strips of one block
+    offsets = (strips.withColumn("_within", F.sum("_c").over(earlier) - F.col("_c"))
+               .join(starts, block).select(*strip, (F.col("_before") + F.col("_within")).alias("_start")))
+    sizes = (blocks.groupBy("scene_id")
              .agg(F.sum(F.when(F.col("label") == 255, F.col("_c"))).alias("_pos"),
                   F.sum(F.when(F.col("label") == 0, F.col("_c"))).alias("_neg"))
              .filter("_pos > 0 AND _neg > 0")
              .select("scene_id", "_pos", "_neg", F.least(F.lit(n).cast("bigint"), "_pos", "_neg").alias("_take")))
     inside = Window.partitionBy(*strip).orderBy("x")
-    ranked = (attach(labelled, sizes, ["scene_id"], "inner")
+    placed = (attach(labelled, sizes, ["scene_id"], "inner")
               .withColumn("_rank", F.row_number().over(inside) - F.lit(1))
-              .join(starts, strip)
+              .join(offsets, strip)
               .withColumn("_p", F.col("_start") + F.col("_rank"))
               .withColumn("_total", F.when(F.col("label") == 255, F.col("_pos")).otherwise(F.col("_neg"))))
     # Position p is taken if it is floor(i * total / take) for a whole i below take.
     i = F.expr("(_p * _take + _total - 1) DIV _total")
-    taken = ranked.withColumn("_i", i).filter("_i < _take AND (_i * _total) DIV _take = _p")
+    taken = placed.withColumn("_i", i).filter("_i < _take AND (_i * _total) DIV _take = _p")
     return taken.select(*table.columns)

@@ -28,7 +28,7 @@ def local_contrast(df: DataFrame, value="value", radius: int = 1, bits: int | No
 def contrast_edges(contrast: DataFrame) -> DataFrame:
     """Flag ``edge``: 8-bit contrast above its Otsu threshold."""
     level = S.round_u8(F.col("contrast") * 255.0)
-    binned = contrast.withColumn("_bin", level)
+    binned = materialise(contrast.withColumn("_bin", level))     # read for the histogram and for the flag
     cut = otsu(histogram(binned, "_bin"))
     return (attach(binned, cut, ["scene_id"])
             .withColumn("edge", F.col("_bin") > F.col("threshold")).drop("_bin", "threshold"))
@@ -177,7 +177,7 @@ def binarise_local(df: DataFrame, value="value", stroke: int | None = None, medi
     number of edges.  A given ``stroke`` skips that estimate.
     """
     kept = [c for c in df.columns if c not in ("contrast", "edge")]
-    edges = contrast_edges(materialise(local_contrast(df, value, bits=bits)))
+    edges = contrast_edges(local_contrast(df, value, bits=bits))
     if stroke is None:
         edges = attach(edges, stroke_width(edges), ["scene_id"])
         radius, least = F.least(F.col("stroke_width"), F.lit(1023)), F.col("stroke_width")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import attach
+from ..functions.joins import attach, ranked
 from ..functions.scalar import first_slot
 
 BANDS = 8
@@ -90,6 +90,5 @@ def open_catalog(files: DataFrame) -> DataFrame:
              .when(is_band, "resized")
              .otherwise("ignored"))
     listed = attach(files, first, ["scene_id"]).withColumn("role", role).drop("_size", "_mask")
-    # The window holds one scene's file names: a folder listing, not its pixels.
-    order = Window.partitionBy("scene_id", "role").orderBy("name")
-    return listed.withColumn("band", F.when(F.col("role") == "band", F.row_number().over(order)))
+    numbered = ranked(listed, ["scene_id", "role"], ["name"], "band")
+    return numbered.withColumn("band", F.when(F.col("role") == "band", F.col("band"))).select(*files.columns, "role", "band")
