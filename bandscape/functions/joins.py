@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import is_written, materialise
 
 # Settings: most group rows that are sent to every executor (a row holds one
 # scene's statistics, a few hundred bytes), and the number of slices a group is
@@ -18,15 +18,17 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(name, str(default)))
 
 
-def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", cheap: bool = False) -> DataFrame:
     """Join ``groups`` (one row per key) to every row of ``df``.
 
-    The group table is computed once, written, and counted from its footers.
+    The group table is computed once, written, and counted from its footers; a
+    ``cheap`` one, a projection of a small written table, is not written again.
     Within the row limit it is broadcast, so ``df`` is not shuffled.  Beyond it,
     both sides are shuffled on the keys plus a salt drawn from the row content:
     each group is cut into slices, so one hot group never lands in one task.
     """
-    groups = materialise(groups)
+    if not cheap and not is_written(groups):
+        groups = materialise(groups)
     if groups.count() <= _setting(df, BROADCAST_ROWS, 100_000):
         return df.join(F.broadcast(groups), keys, how)
     return salted_join(df, groups, keys, how)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_folder: str | None = None
 _written: list[str] = []
+_tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -40,7 +42,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark)}/bandscape/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables.add(table)
+    return table
+
+
+def is_written(df: DataFrame) -> bool:
+    """Is ``df`` itself a table written by :func:`materialise`?"""
+    return df in _tables
 
 
 def release(spark: SparkSession) -> None:

@@ -25,11 +25,16 @@ def tile_bits(reach: int | None = None) -> int:
     return bits
 
 
+def _to_tiles(df: DataFrame) -> DataFrame:
+    """One shuffle on (scene, tile).  The number of partitions is the session's:
+    window and array work is bound by processors, while merging partitions at
+    run time would go by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE)
+
+
 def own_tiles(df: DataFrame, bits: int) -> DataFrame:
     """Shuffle every pixel to its own tile, without copies."""
-    return (df.withColumn("_ty", F.shiftright("y", bits))
-              .withColumn("_tx", F.shiftright("x", bits))
-              .repartition(*TILE))
+    return _to_tiles(df.withColumn("_ty", F.shiftright("y", bits)).withColumn("_tx", F.shiftright("x", bits)))
 
 
 def halo_tiles(df: DataFrame, reach: int | Column, bits: int) -> DataFrame:
@@ -40,9 +45,7 @@ def halo_tiles(df: DataFrame, reach: int | Column, bits: int) -> DataFrame:
         low = F.shiftright(F.greatest(F.col(c) - reach, F.lit(0)), bits)
         return F.explode(F.sequence(low, F.shiftright(F.col(c) + reach, bits)))
 
-    return (df.withColumn("_ty", touched("y"))
-              .withColumn("_tx", touched("x"))
-              .repartition(*TILE))
+    return _to_tiles(df.withColumn("_ty", touched("y")).withColumn("_tx", touched("x")))
 
 
 def own_pixels(df: DataFrame, bits: int) -> DataFrame:

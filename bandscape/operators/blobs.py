@@ -8,6 +8,8 @@ are shuffled once, and the iterated graph is a small part of all runs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,7 +20,7 @@ from ..functions import tiles as tl
 from ..functions.joins import attach
 from ..functions.runtime import materialise
 from ..schema import PIXEL
-from .masks import keep_near
+from .masks import near_flags
 
 # A region is named after its first pixel in raster order: y · 2³² + x.
 _ROW = 1 << 32
@@ -162,6 +164,31 @@ def filter_blobs(mask: DataFrame, min_area: int = 20, bits: int = 9) -> DataFram
 def remove_isolated(mask: DataFrame, share: float = 0.75, d: float = 50, bits: int = 9) -> DataFrame:
     """Clear foreground pixels that are ``d`` or more away from every blob larger
     than ``share`` of the scene's mean blob area."""
+    return clean_blobs(mask, 0, share, d, bits).select(
+        *[c for c in mask.columns if c != "label"], F.col("base").alias("label"))
+
+
+def clean_blobs(mask: DataFrame, min_area: int, share: float = 0.75, d: float = 50, bits: int = 9) -> DataFrame:
+    """Both blob filters on one labelling of a dense mask: ``label`` without blobs
+    of at most ``min_area`` pixels, and ``base`` with isolated blobs removed from it.
+
+    Dropping whole blobs leaves the other ones as they are, so they are not
+    labelled again.  The kept runs meet the mask in the tiles of the distance
+    pass, so no join by pixel is needed.
+    """
     runs = materialise(label_runs(mask, bits))
-    anchors = run_pixels(_runs_above(runs, isolation_limit(blob_areas(runs), share)))
-    return _on_grid(mask, keep_near(mask, anchors, d))
+    kept = materialise(_runs_above(runs, min_area)) if min_area > 0 else runs
+    large = _runs_above(kept, isolation_limit(blob_areas(kept), share))
+    none = F.lit(False)
+    rows = (mask.withColumns({"anchor": none, "_kept": none})
+            .unionByName(run_pixels(kept).select(*PIXEL).withColumns({"anchor": none, "_kept": F.lit(True)}),
+                         allowMissingColumns=True)
+            .unionByName(run_pixels(large).select(*PIXEL).withColumns({"anchor": F.lit(True), "_kept": none}),
+                         allowMissingColumns=True))
+    tile = tl.tile_bits(math.ceil(d))
+    here = Window.partitionBy(*tl.TILE, "x").orderBy("y").rangeBetween(0, 0)        # the rows of one pixel
+    flagged = near_flags(rows, d, tile).withColumn("_hit", F.max("_kept").over(here)).filter("label IS NOT NULL")
+    label = F.when(F.col("_hit"), F.col("label")).otherwise(0).cast("smallint")
+    return (tl.own_pixels(flagged, tile).withColumn("label", label)
+            .withColumn("base", F.when(F.col("near"), F.col("label")).otherwise(0).cast("smallint"))
+            .drop("anchor", "_kept", "_hit", "near"))

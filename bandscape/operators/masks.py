@@ -76,20 +76,18 @@ def run_edges(runs: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
             .select("scene_id", "y", "ax0", "ax1", "bx0", "bx1"))
 
 
-def keep_near(mask: DataFrame, anchors: DataFrame, d: float = 50, bits: int | None = None) -> DataFrame:
-    """Foreground pixels of a dense mask closer than ``d`` to an anchor pixel.
+def near_flags(rows: DataFrame, d: float, bits: int | None = None) -> DataFrame:
+    """Add ``near`` to the rows of a dense image: is an ``anchor`` row closer than ``d``?
 
     Exact and without pairing pixels: the distance ``g`` to the nearest anchor
     of the same row says how many rows up and down that anchor still reaches in
-    this column; running extremes of those reaches answer every pixel.
+    this column; running extremes of those reaches answer every pixel.  Anchor
+    rows may come in addition to the image's own rows.  The result stays tiled.
     """
     far = math.ceil(d) - 1 if d > 0 else 0              # largest whole distance below d
-    bits = tl.tile_bits(far) if bits is None else bits
-    rows = mask.select(*PIXEL, "label").withColumn("_a", F.lit(False)).unionByName(
-        anchors.select(*PIXEL).withColumns({"label": F.lit(None).cast("smallint"), "_a": F.lit(True)}))
-    t = tl.halo_tiles(rows, far, bits)
+    t = tl.halo_tiles(rows, far, tl.tile_bits(far) if bits is None else bits)
     x, y = F.col("x"), F.col("y")
-    spot = F.when(F.col("_a"), x)
+    spot = F.when(F.col("anchor"), x)
     upto = (Window.unboundedPreceding, 0)               # range frame: rows at the same place count
     t = t.withColumns({"_l": F.max(spot).over(tl.along("x").rangeBetween(*upto)),
                        "_r": F.min(spot).over(tl.against("x").rangeBetween(*upto))})
@@ -102,9 +100,17 @@ def keep_near(mask: DataFrame, anchors: DataFrame, d: float = 50, bits: int | No
     t = t.withColumn("_h", reach).withColumns({
         "_down": F.max(y + F.col("_h")).over(tl.along("y").rangeBetween(*upto)),
         "_up": F.min(y - F.col("_h")).over(tl.against("y").rangeBetween(*upto))})
-    near = (F.col("_down") >= y) | (F.col("_up") <= y)
-    return (tl.own_pixels(t.filter((F.col("label") > 0) & ~F.col("_a")), bits).filter(near)
-            .select(*PIXEL, "label"))
+    near = F.coalesce(F.col("_down") >= y, F.lit(False)) | F.coalesce(F.col("_up") <= y, F.lit(False))
+    return t.withColumn("near", near).drop("_l", "_r", "_h", "_down", "_up")
+
+
+def keep_near(mask: DataFrame, anchors: DataFrame, d: float = 50, bits: int | None = None) -> DataFrame:
+    """Foreground pixels of a dense mask closer than ``d`` to an anchor pixel."""
+    bits = tl.tile_bits(math.ceil(d)) if bits is None else bits
+    rows = mask.select(*PIXEL, "label").withColumn("anchor", F.lit(False)).unionByName(
+        anchors.select(*PIXEL).withColumn("anchor", F.lit(True)), allowMissingColumns=True)
+    flagged = near_flags(rows, d, bits).filter((F.col("label") > 0) & ~F.col("anchor"))
+    return tl.own_pixels(flagged, bits).filter("near").select(*PIXEL, "label")
 
 
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def _choose(counts: DataFrame, components: DataFrame, worth) -> DataFrame:
     and absent components lose."""
     ks = [f"k{k}" for k in range(COMPONENTS)]
     ranked = ", ".join(f"struct(coalesce({worth(k)}, double('-Infinity')) AS v, {-i} AS i)" for i, k in enumerate(ks))
-    return (attach(counts, model_rows(components, True), ["scene_id", "side"])
+    return (attach(counts, model_rows(components, True), ["scene_id", "side"], cheap=True)
             .withColumn("component", F.expr(f"-greatest({ranked}).i")).drop(*ks))
 
 
@@ -140,7 +140,7 @@ def _nearest(counts: DataFrame, components: DataFrame) -> DataFrame:
 
 def start_components(counts: DataFrame, kmeans_rounds: int = 5) -> DataFrame:
     """Components of a k-means clustering of each side, from quintiles."""
-    components = learn(_start(counts))
+    components = materialise(learn(_start(counts)))
     for _ in range(kmeans_rounds):
         components = materialise(learn(_nearest(counts, components)))
     return components
@@ -152,7 +152,7 @@ def unary_costs(table: DataFrame, components: DataFrame) -> DataFrame:
         parts = " + ".join(f"coalesce(k{s}{k}.share * {_density(f'k{s}{k}')}, 0D)" for k in range(COMPONENTS))
         return F.expr(f"-ln(greatest({parts}, 1E-300D))")
 
-    return (attach(table, model_rows(components, False), ["scene_id"])
+    return (attach(table, model_rows(components, False), ["scene_id"], cheap=True)
             .withColumns({"bg_cost": cost(0), "fg_cost": cost(1)})
             .drop(*[f"k{s}{k}" for s in (0, 1) for k in range(COMPONENTS)]))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import attach
 from ..functions.runtime import materialise
 from ..operators import bands as B
-from ..operators.blobs import filter_blobs, remove_isolated
+from ..operators.blobs import clean_blobs
 from ..operators.neighborhood import binarise_local
 from ..operators.score import ace_score
 from ..operators.segment import refine
@@ -36,23 +36,21 @@ def complete_scenes(pixels: DataFrame, bands: int = 8) -> DataFrame:
     return attach(pixels, good.select("scene_id"), ["scene_id"], "inner")
 
 
-def rough_mask(grey: DataFrame, min_area: int = MIN_BLOB, stroke: int | None = None) -> DataFrame:
-    """Local binarisation without blobs of up to ``min_area`` pixels."""
-    return materialise(filter_blobs(binarise_local(grey, stroke=stroke).select(*PIXEL, "label"), min_area))
+def rough_masks(grey: DataFrame, min_area: int = MIN_BLOB, stroke: int | None = None) -> DataFrame:
+    """Local binarisation as ``label`` without blobs of up to ``min_area`` pixels,
+    and as ``base`` without isolated blobs."""
+    return clean_blobs(materialise(binarise_local(grey, stroke=stroke).select(*PIXEL, "label")), min_area)
 
 
-def score_scene(signal: DataFrame, rough: DataFrame) -> DataFrame:
-    """Signal with the coherence score of the spectrally consistent foreground."""
-    labelled = materialise(B.with_mask(signal, rough))
-    return ace_score(flag_outliers(labelled))
+def score_scene(signal: DataFrame, masks: DataFrame) -> DataFrame:
+    """Signal and masks with the coherence score of the spectrally consistent foreground."""
+    return ace_score(flag_outliers(materialise(signal.join(masks, PIXEL))))
 
 
 def _binarize(signal: DataFrame, grey: DataFrame, min_area: int, **refinement) -> DataFrame:
-    rough = rough_mask(grey, min_area)
-    scored = score_scene(signal, rough).select(*signal.columns, "score")
-    features = B.feature_composite(scored).select(*PIXEL, "c0", "c1", "c2", "score")
-    base = remove_isolated(rough).select(*PIXEL, F.col("label").alias("base"))
-    return refine(features.join(base, PIXEL), **refinement).select(*PIXEL, "label")
+    scored = score_scene(signal, rough_masks(grey, min_area)).select(*signal.columns, "base", "score")
+    features = B.feature_composite(scored).select(*PIXEL, "c0", "c1", "c2", "score", "base")
+    return refine(features, **refinement).select(*PIXEL, "label")
 
 
 def _cleaned(signal: DataFrame) -> DataFrame:
@@ -91,7 +89,7 @@ def ace_map(pixels: DataFrame, mask: DataFrame, deep: bool = False, turns: int =
 def visualize_msi(pixels: DataFrame, bands: int = 8, min_area: int = MIN_BLOB) -> DataFrame:
     """False-colour view: features with the score blended into the a-channel."""
     signal = materialise(B.to_signal(B.normalise_bands(complete_scenes(pixels, bands)), bands))
-    scored = score_scene(signal, rough_mask(_cleaned(signal), min_area))
+    scored = score_scene(signal, rough_masks(_cleaned(signal), min_area))
     features = B.feature_composite(scored.select(*PIXEL, *band_columns(signal), "score"))
     shown = features.withColumn("score", F.coalesce("score", F.lit(0.0)))
     return B.pseudo_color(shown).select(*PIXEL, "r", "g", "b")
