@@ -88,13 +88,13 @@ def _merge_regions(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         near = (links.join(roots.select("scene_id", F.col("region").alias("other"), "root"), ["scene_id", "other"])
                 .groupBy("scene_id", "region").agg(F.min("root").alias("_near")))
-        hooked = (roots.join(near, ["scene_id", "region"])
-                  .select("scene_id", "region", F.col("root").alias("_old"),
-                          F.least("root", "_near").alias("root")))
+        hooked = materialise(roots.join(near, ["scene_id", "region"])
+                             .select("scene_id", "region", F.col("root").alias("_old"),
+                                     F.least("root", "_near").alias("root")))
         # Pointer jump: take over the root of the root.  Many regions share one
         # root, hence the size-checked or salted join.
         jump = hooked.select("scene_id", F.col("region").alias("root"), F.col("root").alias("_next"))
-        moved = materialise(attach(materialise(hooked), jump, ["scene_id", "root"])
+        moved = materialise(attach(hooked, jump, ["scene_id", "root"], cheap=True)
                             .select("scene_id", "region", "_old",
                                     F.least(F.coalesce("_next", "root"), F.col("root")).alias("root")))
         roots = moved.select("scene_id", "region", "root")

@@ -86,7 +86,7 @@ def ace_score(signal: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     The target is the mean spectrum of pixels labelled 255, from ``mask`` or from
     a ``label`` column of the signal.
     """
-    table = signal if mask is None else with_mask(signal, mask)
+    table = signal if mask is None else materialise(with_mask(signal, mask))        # read three times
     return minmax_columns(ace_raw(table), ["scene_id"], {"score": F.col("score")}, 0.0, 1.0, rounded=False)
 
 
@@ -101,7 +101,7 @@ def forest_score(signal: DataFrame, mask: DataFrame | None = None, n: int = 1000
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    table = signal if mask is None else with_mask(signal, mask)
+    table = signal if mask is None else materialise(with_mask(signal, mask))        # read to train and to score
     bands = band_columns(table)
     unit = table.withColumns({f"_f{i}": F.col(c) / F.lit(255.0) for i, c in enumerate(bands)})
     sample = materialise(balanced_sample(unit, n).withColumn("_class", (F.col("label") == 255).cast("double")))

@@ -164,17 +164,18 @@ def label_by_cost(table: DataFrame, trimap="trimap") -> DataFrame:
                             .otherwise(likelier).cast("smallint"))
 
 
-def gmm_round(table: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+def gmm_round(table: DataFrame, components: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One round: assign colours to components, learn again, cost every pixel."""
-    learned = materialise(learn(assign(colour_counts(table), components)))
+    counts = colour_counts(table) if counts is None else counts
+    learned = materialise(learn(assign(counts, components)))
     return label_by_cost(unary_costs(table, learned)), learned
 
 
 def gmm_segment(table: DataFrame, kmeans_rounds: int = 5) -> DataFrame:
     """Segmentation of features ``c0 … c2`` under a ``trimap``: start components,
     one round, and the label with both costs."""
-    start = start_components(materialise(colour_counts(table)), kmeans_rounds)
-    return gmm_round(table, start)[0]
+    counts = materialise(colour_counts(table))
+    return gmm_round(table, start_components(counts, kmeans_rounds), counts)[0]
 
 
 def _sweep(part: pd.DataFrame, sweeps: int) -> pd.DataFrame:
@@ -288,8 +289,9 @@ def _marked(deep: DataFrame, ends: DataFrame, base="base") -> DataFrame:
         "violation", (F.col("depth") > F.col("erosions")) & (F.col(base) == 0))
 
 
-def _segment(table: DataFrame, components: DataFrame, beta: DataFrame, sweeps: int) -> tuple[DataFrame, DataFrame]:
-    costs, learned = gmm_round(table.drop("label"), components)
+def _segment(table: DataFrame, components: DataFrame, beta: DataFrame, sweeps: int,
+             counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    costs, learned = gmm_round(table.drop("label"), components, counts)
     smoothed = smooth_labels(costs, beta, sweeps).drop("bg_cost", "fg_cost")
     settled = F.when(F.col("trimap").isin("FGD", "BGD"), F.col("trimap")).when(
         F.col("label") > 0, "PR_FGD").otherwise("PR_BGD")
@@ -308,8 +310,8 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
     guide = trimap_label(F.col("score"), F.col("base"), preset)
     table = materialise(table.select(*columns).withColumn("trimap", guide))
     beta = materialise(contrast_scale(table))
-    components = start_components(materialise(colour_counts(table)), kmeans_rounds)
-    active, components = _segment(table, components, beta, sweeps)
+    counts = materialise(colour_counts(table))
+    active, components = _segment(table, start_components(counts, kmeans_rounds), beta, sweeps, counts)
     finished = []
     for _ in range(rounds):
         deep = materialise(erosion_depth(active, erosions + 1))

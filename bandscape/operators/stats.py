@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..functions.joins import attach
+from ..functions.runtime import materialise
 from ..schema import FOREGROUND, OUTLIER, PIXEL, band_columns
 from .bands import with_mask
 
@@ -110,7 +111,7 @@ def iqr_bounds(signal: DataFrame, mask: DataFrame | None = None, w: float = 1.5)
 
 def flag_outliers(signal: DataFrame, mask: DataFrame | None = None, w: float = 1.5) -> DataFrame:
     """Label a foreground pixel 100 if any band leaves that band's quartile fence."""
-    table = signal if mask is None else with_mask(signal, mask)
+    table = signal if mask is None else materialise(with_mask(signal, mask))      # read twice
     bands = band_columns(table)
     limits = iqr_bounds(table, w=w)
     row = limits.groupBy("scene_id").agg(

@@ -81,9 +81,9 @@ def ace_map(pixels: DataFrame, mask: DataFrame, deep: bool = False, turns: int =
     parts = []
     for width in widths:
         some = attach(normalised, counts.filter(F.col("_bands") == width).select("scene_id"), ["scene_id"], "inner")
-        parts.append(ace_score(B.to_signal(some, width), mask).select(*PIXEL, "score"))
-    scores = reduce(DataFrame.unionByName, parts) if parts else present.selectExpr(*PIXEL, "double(value) AS score")
-    return rotate_quarter(scores, turns)
+        table = materialise(B.with_mask(B.to_signal(some, width), mask))
+        parts.append(rotate_quarter(ace_score(table).select(*PIXEL, "score"), turns, grid=table))
+    return reduce(DataFrame.unionByName, parts) if parts else present.selectExpr(*PIXEL, "double(value) AS score")
 
 
 def visualize_msi(pixels: DataFrame, bands: int = 8, min_area: int = MIN_BLOB) -> DataFrame:
