@@ -161,6 +161,12 @@ def filter_blobs(mask: DataFrame, min_area: int = 20, bits: int = 9) -> DataFram
     return _on_grid(mask, run_pixels(_runs_above(runs, min_area)))
 
 
+def filter_blobs_auto(mask: DataFrame, share: float = 0.75, bits: int = 9) -> DataFrame:
+    """Clear blobs of up to ``share`` of the scene's mean blob area."""
+    runs = materialise(label_runs(mask, bits))
+    return _on_grid(mask, run_pixels(_runs_above(runs, isolation_limit(blob_areas(runs), share))))
+
+
 def remove_isolated(mask: DataFrame, share: float = 0.75, d: float = 50, bits: int = 9) -> DataFrame:
     """Clear foreground pixels that are ``d`` or more away from every blob larger
     than ``share`` of the scene's mean blob area."""

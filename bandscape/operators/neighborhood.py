@@ -34,29 +34,24 @@ def contrast_edges(contrast: DataFrame) -> DataFrame:
             .withColumn("edge", F.col("_bin") > F.col("threshold")).drop("_bin", "threshold"))
 
 
+def peak_gaps(edges: DataFrame) -> DataFrame:
+    """How often each distance between neighbouring edge pixels of a row occurs."""
+    row = Window.partitionBy("scene_id", "y").orderBy("x")      # one image row
+    return (edges.filter("edge").select(*PIXEL)
+            .withColumn("dist", F.col("x") - F.lag("x").over(row)).filter("dist IS NOT NULL")
+            .groupBy("scene_id", "dist").agg(F.count("*").alias("n")))
+
+
 def stroke_width(edges: DataFrame, default: int = 1) -> DataFrame:
     """Most frequent distance between neighbouring edge pixels of a row; the
     smaller one wins a tie.  Scenes without two edges in a row get ``default``."""
-    row = Window.partitionBy("scene_id", "y").orderBy("x")      # one image row
-    gaps = (edges.filter("edge").select(*PIXEL)
-            .withColumn("dist", F.col("x") - F.lag("x").over(row))
-            .filter("dist IS NOT NULL")
-            .groupBy("scene_id", "dist").agg(F.count("*").alias("n")))
-    widths = gaps.groupBy("scene_id").agg(
+    widths = peak_gaps(edges).groupBy("scene_id").agg(
         F.max_by("dist", F.struct("n", (-F.col("dist")).alias("small"))).alias("stroke_width"))
     scenes = edges.groupBy("scene_id").agg(F.max("y").alias("_"))
     return scenes.join(widths, "scene_id", "left").select(
         "scene_id", F.coalesce("stroke_width", F.lit(default)).alias("stroke_width"))
 
 
-def peak_gaps(edges: DataFrame) -> DataFrame:
-    """Histogram of distances between neighbouring edge pixels of a row."""
-    row = Window.partitionBy("scene_id", "y").orderBy("x")
-    return (edges.filter("edge").select(*PIXEL)
-            .withColumn("dist", F.col("x") - F.lag("x").over(row)).filter("dist IS NOT NULL")
-            .groupBy("scene_id", "dist").agg(F.count("*").alias("n")))
-
-
 def local_threshold(df: DataFrame, radius: int | Column, n_min: int | Column, value="value",
                     bits: int | None = None) -> DataFrame:
     """Ink test against the edge pixels around each pixel.

@@ -92,6 +92,21 @@ def grey_pixels(samples: DataFrame) -> DataFrame:
         value.cast("smallint").alias("value"))
 
 
+def band_pixels(samples: DataFrame, bands: DataFrame) -> DataFrame:
+    """Pixel table of the listed bands (scene_id, name, band), as the catalogues
+    give them; other images are dropped."""
+    values = grey_pixels(samples).drop("band")
+    return attach(values, bands.select("scene_id", "name", "band"), ["scene_id", "name"], "inner").select(
+        "scene_id", "band", "y", "x", "value")
+
+
+def mask_pixels(samples: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Mask table of the images that an open-band catalogue lists as masks."""
+    masks = catalog.filter("role = 'mask'").select("scene_id", "name")
+    return attach(grey_pixels(samples), masks, ["scene_id", "name"], "inner").select(
+        "scene_id", "y", "x", F.col("value").alias("label"))
+
+
 def split_channels(samples: DataFrame) -> DataFrame:
     """Colour samples to one band per channel (1 blue, 2 green, 3 red); missing
     channels give no rows."""

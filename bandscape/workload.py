@@ -514,6 +514,11 @@ def blob_filter(spark, sf):
     return BL.filter_blobs(fx.mosaic_mask(spark, sf), 3)
 
 
+@query
+def blob_filter_auto(spark, sf):
+    return BL.filter_blobs_auto(fx.mosaic_mask(spark, sf))
+
+
 @query
 def isolated_blobs(spark, sf):
     return BL.remove_isolated(fx.mosaic_mask(spark, sf), 0.75, 3)

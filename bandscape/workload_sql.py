@@ -646,6 +646,10 @@ FROM (SELECT o.*, x1 - x0 AS gx, y1 - y0 AS gy, CASE WHEN o_orderkey % 2 = 0 THE
     "blob_filter": sql("""
 SELECT scene_id, m.y, m.x, CAST(CASE WHEN area > 3 THEN label ELSE 0 END AS SMALLINT) AS label
 FROM mosaic_mask m LEFT JOIN blobs b USING (scene_id, y, x) LEFT JOIN areas USING (scene_id, blob_id)""", BLOBS),
+    "blob_filter_auto": sql("""
+SELECT scene_id, m.y, m.x, CAST(CASE WHEN area > l."limit" THEN label ELSE 0 END AS SMALLINT) AS label
+FROM mosaic_mask m LEFT JOIN blobs b USING (scene_id, y, x) LEFT JOIN areas USING (scene_id, blob_id)
+LEFT JOIN limits l USING (scene_id)""", BLOBS),
     "isolated_blobs": sql("""
 SELECT m.scene_id, m.y, m.x, CASE WHEN k.label IS NOT NULL THEN m.label ELSE CAST(0 AS SMALLINT) END AS label
 FROM mosaic_mask m LEFT JOIN kept k USING (scene_id, y, x)""", {

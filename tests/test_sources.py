@@ -67,6 +67,25 @@ def test_catalogue_of_a_folder(spark, folder):
     assert [(s.status, s.height, s.width) for s in scene] == [("valid", 3, 4)]
 
 
+def test_folder_to_pixel_table(spark, folder):
+    listed = catalog.scene_catalog(images.list_files(spark, folder + "/z35"))
+    bands = catalog.accepted_bands(listed, catalog.validate_scenes(listed))
+    px = images.band_pixels(images.read_samples(spark, folder + "/z35"), bands)
+    assert px.count() == 8 * GREY.size
+    assert {(r.band, r.value) for r in px.filter("y = 0 AND x = 0").collect()} == {(k, k) for k in range(1, 9)}
+
+
+def test_open_folder_with_mask(spark, tmp_path):
+    for name, a in (("a.png", GREY), ("b.png", GREY + 9), ("c.png", GREY.T), ("the_mask.png", np.where(GREY > 90, 255, 0))):
+        png(tmp_path / "page" / name, a)
+    path = str(tmp_path / "page")
+    listed = catalog.open_catalog(images.list_files(spark, path))
+    samples = images.read_samples(spark, path)
+    px = images.band_pixels(samples, listed.filter("role = 'band'"))
+    assert {r.band for r in px.select("band").distinct().collect()} == {1, 2}
+    assert images.mask_pixels(samples, listed).filter("label = 255").count() == (GREY > 90).sum()
+
+
 def files_table(spark, rows):
     return spark.createDataFrame(rows, "scene_id bigint, name string, height int, width int")
 
