@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from .runtime import is_written, materialise
 
 # Settings: most group rows that are sent to every executor (a row holds one
-# scene's statistics, a few hundred bytes), and the number of slices a group is
-# cut into beyond that.
+# scene's statistics, a few hundred bytes); the number of slices a group is cut
+# into beyond that, and most group rows that are copied per slice; beyond that,
+# the share 1/n of all rows from which a key counts as hot.
 BROADCAST_ROWS = "spark.bandscape.broadcast.maxRows"
 SALT_SLICES = "spark.bandscape.salt.slices"
+SALT_ROWS = "spark.bandscape.salt.maxRows"
+HOT_KEYS = "spark.bandscape.hot.maxKeys"
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -23,15 +26,19 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left",
 
     The group table is computed once, written, and counted from its footers; a
     ``cheap`` one, a projection of a small written table, is not written again.
-    Within the row limit it is broadcast, so ``df`` is not shuffled.  Beyond it,
-    both sides are shuffled on the keys plus a salt drawn from the row content:
-    each group is cut into slices, so one hot group never lands in one task.
+    Within the row limit it is broadcast, so ``df`` is not shuffled.  A larger
+    one is joined by shuffling both sides on the keys plus a salt; one with so
+    many groups that copies per slice would be a burden is joined plainly but
+    for its hot keys.  Either way no hot group lands in one task.
     """
     if not cheap and not is_written(groups):
         groups = materialise(groups)
-    if groups.count() <= _setting(df, BROADCAST_ROWS, 100_000):
+    rows = groups.count()
+    if rows <= _setting(df, BROADCAST_ROWS, 100_000):
         return df.join(F.broadcast(groups), keys, how)
-    return salted_join(df, groups, keys, how)
+    if rows <= _setting(df, SALT_ROWS, 10_000_000):
+        return salted_join(df, groups, keys, how)
+    return hot_split_join(df, groups, keys, how)
 
 
 def salted_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -43,6 +50,21 @@ def salted_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "l
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_split_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join to a table that is unique on ``keys``: rows of hot keys meet a
+    broadcast, all other rows a plain shuffle.
+
+    A key is hot if it has more than 1/n of all rows, so there are fewer than n
+    hot keys at any size of the tables, and few enough to broadcast.
+    """
+    counts = materialise(df.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("_n") * _setting(df, HOT_KEYS, 10_000) > total).select(*keys))
+    spread = df.join(hot, keys, "left_anti").join(groups, keys, how)
+    dense = df.join(hot, keys, "left_semi").join(F.broadcast(groups.join(hot, keys, "left_semi")), keys, how)
+    return spread.unionByName(dense)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Number the rows of each group from 1 in ``order``, however large a group is.
 

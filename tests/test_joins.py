@@ -20,16 +20,20 @@ def hot(spark):
     return spark.range(3000).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), "id")
 
 
+@pytest.mark.parametrize("salted", [True, False])
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
-def test_salted_equals_broadcast(spark, how):
+def test_large_group_tables_equal_broadcast(spark, how, salted):
     df = hot(spark)
     groups = df.filter("k < 1500").groupBy("k").agg(F.sum("id").alias("s"))
     want = sorted(map(tuple, J.attach(df, groups, ["k"], how).collect()), key=str)
     spark.conf.set(J.BROADCAST_ROWS, "0")
+    spark.conf.set(J.SALT_ROWS, "1000000" if salted else "0")
+    spark.conf.set(J.HOT_KEYS, "20")
     try:
         got = sorted(map(tuple, J.attach(df, groups, ["k"], how).collect()), key=str)
     finally:
-        spark.conf.unset(J.BROADCAST_ROWS)
+        for name in (J.BROADCAST_ROWS, J.SALT_ROWS, J.HOT_KEYS):
+            spark.conf.unset(name)
     assert got == want
 
 
