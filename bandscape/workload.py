@@ -326,7 +326,7 @@ def _contrast_and_mask(spark, sf):
 @query
 def confidence(spark, sf):
     out = ST.confidence(_contrast_and_mask(spark, sf))
-    return _rounded(out, "mean_contrast", "ink_contrast", "share", "confidence")
+    return _rounded(out, "mean_contrast", "ink_contrast", "share", "confidence", digits=10)
 
 
 @query

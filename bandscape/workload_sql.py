@@ -553,8 +553,8 @@ SELECT event_type, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p
     "blob_boxes": sql("""
 SELECT scene_id, blob_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM blobs GROUP BY ALL""", BLOBS),
     "confidence": sql(f"""
-SELECT scene_id, {r('mc')} AS mean_contrast, {r('ic')} AS ink_contrast, {r('share')} AS share,
-       {r('greatest(1.0 - abs(share - 0.2) / 0.2, 0) * ic')} AS confidence
+SELECT scene_id, {r('mc', 10)} AS mean_contrast, {r('ic', 10)} AS ink_contrast, {r('share', 10)} AS share,
+       {r('greatest(1.0 - abs(share - 0.2) / 0.2, 0) * ic', 10)} AS confidence
 FROM (SELECT scene_id, avg(contrast) AS mc, coalesce(avg(contrast) FILTER (WHERE value >= 175), 0) AS ic,
              count(*) FILTER (WHERE value >= 175) / CAST(count(*) AS DOUBLE) AS share
       FROM mosaic_contrast GROUP BY scene_id)""", contrast("mosaic")),

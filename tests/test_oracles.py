@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 
@@ -21,7 +22,7 @@ def duck():
 
 def canonical(frame):
     def value(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return (0, "")
         if isinstance(v, (int, float, bool, np.integer, np.floating, np.bool_)):
             return (1, float(v))
