@@ -69,15 +69,21 @@ def ace_raw(table: DataFrame) -> DataFrame:
     scores 0; scenes without a model get a null score and say why in ``status``.
     """
     bands = band_columns(table)
-    scored = attach(table, coherence_model(table), ["scene_id"])
     n = len(bands)
-    centred = scored.selectExpr("*", *[f"{c} - _mean[{i}] AS _x{i}" for i, c in enumerate(bands)])
-    g = " + ".join(f"_u[{i}] * _x{i}" for i in range(n))
-    q = " + ".join(f"_w[{k}] * _x{i} * _x{j}" for k, (i, j) in enumerate(np.transpose(np.triu_indices(n)).tolist()))
-    ratio = centred.selectExpr("*", f"{g} AS _g", f"_t * ({q}) AS _d").selectExpr(
+    pairs = list(enumerate(np.transpose(np.triu_indices(n)).tolist()))
+    # Plain columns and values that cannot be null shorten the generated code.
+    flat = coherence_model(table).selectExpr(
+        "scene_id", "status", "_t", *[f"_mean[{i}] AS _m{i}" for i in range(n)],
+        *[f"_u[{i}] AS _u{i}" for i in range(n)], *[f"_w[{k}] AS _w{k}" for k, _ in pairs])
+    scored = attach(table, flat, ["scene_id"])
+    known = " AND ".join(f"{c} IS NOT NULL" for c in ["_t", *bands])
+    centred = scored.selectExpr("*", f"{known} AS _known",
+                                *[f"coalesce(double({c}) - _m{i}, 0D) AS _x{i}" for i, c in enumerate(bands)])
+    g = " + ".join(f"coalesce(_u{i}, 0D) * _x{i}" for i in range(n))
+    q = " + ".join(f"coalesce(_w{k}, 0D) * _x{i} * _x{j}" for k, (i, j) in pairs)
+    ratio = centred.selectExpr(*table.columns, "status", "_known", f"{g} AS _g", f"coalesce(_t, 0D) * ({q}) AS _d").selectExpr(
         "*", "coalesce(_g * abs(_g) / nullif(_d, 0D), 0D) AS _r")
-    return ratio.selectExpr(*table.columns, "status",
-                            "CASE WHEN _t IS NOT NULL THEN least(greatest(_r, 0D), 1D) END AS score")
+    return ratio.selectExpr(*table.columns, "status", "CASE WHEN _known THEN least(greatest(_r, 0D), 1D) END AS score")
 
 
 def ace_score(signal: DataFrame, mask: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ def spark():
                .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+               .config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
