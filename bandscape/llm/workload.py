@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import contamination, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def op2_sharding(spark, sf):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op6_decontamination(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    found = contamination.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return found.withColumnRenamed("key", "doc_id").drop("row")
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))

@@ -3,3 +3,22 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op6_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+cut AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS a FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[a + 1:a + 13], ' ') AS s FROM cut),
+lens AS (SELECT DISTINCT l FROM win),
+places AS (SELECT doc_id, w, l, unnest(range(0, len(w) - l + 1)) AS a FROM d, lens WHERE len(w) >= l),
+seen AS (SELECT doc_id, a, p.l, item_id FROM (SELECT doc_id, a, l, array_to_string(w[a + 1:a + l], ' ') AS s FROM places) p
+         JOIN win USING (s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(a, a + l)) AS p FROM seen) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM seen) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
