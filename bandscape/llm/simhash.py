@@ -9,6 +9,7 @@ ever exceeds 2^14 fingerprints.  Within a bucket the fingerprints are sorted by
 Gray rank, which places like bit patterns side by side, and packed into a tree
 whose nodes hold the bits that all their members share and that their parent
 does not; a search adds up differences from the root and drops whole nodes.
+A bucket gives a star for each group of members that it links, not all pairs.
 """
 
 from __future__ import annotations
@@ -104,7 +105,9 @@ def _dealt(rows: DataFrame, masks: list[list[int]], parents: int) -> DataFrame:
 
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints at most two bits apart."""
+    """(a, b), a < b: distinct fingerprints with the same components as all pairs
+    at most two bits apart.  A bucket gives the members of each of its groups with
+    one of them, not all of its pairs."""
     masks, parents, found, rows = first_masks(), 0, None, fps.select("fp")
     while True:
         dealt = _dealt(rows, masks, parents)
@@ -146,11 +149,30 @@ def _linked(shared: DataFrame) -> DataFrame:
 def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     mask, value = rows["mask"].to_numpy(), rows["value"].to_numpy()
     bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))])
-    for left, right in search(bucket, rows["fp"].to_numpy().view(np.uint64)):
-        a, b = left.view(np.int64), right.view(np.int64)
+    fp = rows["fp"].to_numpy().view(np.uint64)
+    order = np.lexsort((gray_rank(fp), bucket))
+    bucket, fp = bucket[order], fp[order].view(np.int64)
+    label = np.arange(len(fp))
+    for left, right in search(bucket, fp.view(np.uint64)):
+        _unite(label, left, right)
+    linked = np.flatnonzero(label != np.arange(len(fp)))
+    if len(linked):
+        a, b = fp[label[linked]], fp[linked]
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Let linked members share the smallest label; labels point at roots before and after."""
+    while True:
+        a, b = label[left], label[right]
+        differ = a != b
+        if not differ.any():
+            return
+        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while not np.array_equal(jumped := label[label], label):
+            label[:] = jumped
+
+
 # --- hierarchical index --------------------------------------------------------
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -184,31 +206,36 @@ def build(bucket: np.ndarray, fp: np.ndarray) -> list[Level]:
 
 
 def search(bucket: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members of one bucket at most ``distance`` bits apart, each once."""
-    order = np.lexsort((gray_rank(fp), bucket))
-    bucket, fp = bucket[order], fp[order]
+    """Index pairs of members of one bucket at most ``distance`` bits apart, each
+    once; the members stand in Gray order within their buckets.
+
+    Searches go down in slices of at most ``STEP``, the deepest first, so that a
+    group in which everything is near takes no more memory than any other.
+    """
     levels = build(bucket, fp)
     _, root = np.unique(bucket, return_inverse=True)         # one root per bucket, in order
-    for at in range(0, len(fp), STEP // FANOUT):
-        query = np.arange(at, min(at + STEP // FANOUT, len(fp)))
-        node, differences = root[query], np.zeros(len(query), np.int64)
-        seen = np.zeros(len(query), np.uint64)               # bits compared so far
-        for k in range(len(levels) - 1, -1, -1):
+    for at in range(0, len(fp), STEP):
+        query = np.arange(at, min(at + STEP, len(fp)))
+        waiting = [(len(levels) - 1, query, root[query], np.zeros(len(query), np.int64), np.zeros(len(query), np.uint64))]
+        while waiting:
+            k, query, node, differences, seen = waiting.pop()
             level = levels[k]
-            own = level.mask[node] & ~seen
+            own = level.mask[node] & ~seen                   # shared here and not further up
             differences = differences + np.bitwise_count((fp[query] ^ level.ones[node]) & own)
             near = differences <= distance
             query, node, differences = query[near], node[near], differences[near]
             if not k:
-                break
+                once = query < node
+                if once.any():
+                    yield query[once], node[once]
+                continue
             seen = level.mask[node]
             width = level.last[node] - level.first[node]
             which = np.repeat(np.arange(len(node)), width)
-            node = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + level.first[node][which]
-            query, differences, seen = query[which], differences[which], seen[which]
-        keep = query < node
-        if keep.any():
-            yield fp[query[keep]], fp[node[keep]]
+            child = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + level.first[node][which]
+            for s in range(0, len(which), STEP):
+                w = which[s:s + STEP]
+                waiting.append((k - 1, query[w], child[s:s + STEP], differences[w], seen[w]))
 
 
 # --- groups -------------------------------------------------------------------
