@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, sharding, simhash
+from . import contamination, licenses, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op6_decontamination(spark, sf):
     return found.withColumnRenamed("key", "doc_id").drop("row")
 
 
+@query
+def op8_licenses(spark, sf):
+    found = licenses.licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("key", "doc_id").drop("row", "spans")
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -22,3 +24,35 @@ named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"({i}, '{label}', '{text}')" for i, (text, label) in enumerate(rows))
+
+
+ORACLES["op8_licenses"] = rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+p(i, label, s) AS (VALUES (0, 'mit', 'under the mit license'), (1, 'apache-2', 'apache license version 2'),
+                          (2, 'cc-by-nc', 'cc by nc')),
+pos AS (SELECT doc_id, w, unnest(range(0, len(w))) AS a FROM d),
+exact AS (SELECT doc_id, a, label FROM pos, p WHERE array_to_string(w[a + 1:a + len(string_split(s, ' '))], ' ') = s),
+base AS (SELECT doc_id, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM exact GROUP BY doc_id),
+t(i, label, s) AS (VALUES {_values([(t.replace("'", "''"), label) for label, t in TEMPLATES])}),
+tw AS (SELECT i, label, {_WORDS.format('s')} AS w FROM t),
+grams AS (SELECT i, label, len(w) - 2 AS n, unnest(range(0, len(w) - 2)) AS b, w FROM tw),
+keyed AS (SELECT i, label, n, b, array_to_string(w[b + 1:b + 3], ' ') AS g FROM grams),
+m AS (SELECT doc_id, i, label, n, a - b AS diagonal, a, b FROM
+      (SELECT doc_id, a, array_to_string(w[a + 1:a + 3], ' ') AS g FROM pos WHERE a <= len(w) - 3) JOIN keyed USING (g)),
+v AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, i ORDER BY diagonal, a), 0) > 3 AS gap FROM m),
+s AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id, i ORDER BY diagonal, a) AS span FROM v),
+spans AS (SELECT doc_id, label, count(DISTINCT b) / n AS share, max(a) + 3 - min(a) AS long, n FROM s
+          GROUP BY doc_id, i, label, n, span),
+score AS (SELECT doc_id, max(share) AS share FROM spans GROUP BY doc_id),
+every AS (SELECT doc_id, label FROM exact UNION
+          SELECT doc_id, label FROM spans WHERE share >= 0.8 AND long <= (n + 2) * 1.25 + 3),
+labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN score USING (doc_id)"""
