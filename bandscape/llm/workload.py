@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, sharding, simhash
+from . import contamination, licenses, sharding, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op2_sharding(spark, sf):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_maxscore(spark, sf):
+    vectors = topk.integer_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("id") % 20 == 0, 20)
+
+
 @query
 def op6_decontamination(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
