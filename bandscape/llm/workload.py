@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, sharding, simhash, topk
+from . import contamination, lattice, licenses, sharding, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,17 @@ def query(function: Query) -> Query:
     return function
 
 
+def _remainder(modulus: int) -> Column:
+    """Is crc32 of the id as text 2 modulo ``modulus``?  A null id is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == 2, F.lit(False))
+
+
+@query
+def op1_lattice(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lattice.score(docs, "doc_id", "text", _remainder(7)).withColumnRenamed("key", "doc_id").drop("row")
+
+
 @query
 def op2_sharding(spark, sf):
     placed = sharding.assign(table(spark, sf, "documents").select("doc_id", "text"), 16)
