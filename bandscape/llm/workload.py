@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lattice, licenses, sharding, simhash, topk
+from . import contamination, lattice, licenses, sentencepiece_codec, sharding, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op6_decontamination(spark, sf):
     return found.withColumnRenamed("key", "doc_id").drop("row")
 
 
+@query
+def op7_sentencepiece(spark, sf):
+    return sentencepiece_codec.encode(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_licenses(spark, sf):
     found = licenses.licenses(table(spark, sf, "documents").select("doc_id", "text"))
