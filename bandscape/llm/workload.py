@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lattice, licenses, sentencepiece_codec, sharding, simhash, topk
+from . import contamination, language, lattice, licenses, sentencepiece_codec, sharding, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op2_sharding(spark, sf):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs, _remainder(4))
+
+
 @query
 def op4_maxscore(spark, sf):
     vectors = topk.integer_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
