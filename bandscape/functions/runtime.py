@@ -31,6 +31,13 @@ def _shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that :func:`release` deletes."""
+    path = f"{_shared_folder(spark)}/bandscape/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
@@ -39,9 +46,8 @@ def materialise(df: DataFrame) -> DataFrame:
     earlier steps of the loop.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/bandscape/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     _tables.add(table)
     return table
