@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lattice, licenses, sentencepiece_codec, sharding, simhash, topk
+from . import contamination, language, lattice, licenses, sentencepiece_codec, sharding, simhash, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op4_maxscore(spark, sf):
     return topk.top_k(vectors, F.col("id") % 20 == 0, 20)
 
 
+@query
+def op5_warc(spark, sf):
+    records = warc.round_trip(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op6_decontamination(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
