@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lattice, licenses, sentencepiece_codec, sharding, simhash, topk, warc
-from .common import table
+from . import contamination, language, lattice, licenses, repeats, sentencepiece_codec, sharding, simhash, topk, warc
+from .common import numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,12 @@ def op8_licenses(spark, sf):
     return found.withColumnRenamed("key", "doc_id").drop("row", "spans")
 
 
+@query
+def op9_repeats(spark, sf):
+    docs = numbered(table(spark, sf, "documents").select("doc_id", "text"), "_row")
+    return repeats.digest(docs, "_row", "doc_id", "text").withColumnRenamed("key", "doc_id").drop("row")
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
