@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.runtime import materialise
 
+SENT = 2_000_000            # row numbers sent to every executor at once
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,6 +30,12 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     return materialise(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
+def without_rows(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose number is in ``gone``, which is broadcast up to ``SENT`` numbers."""
+    gone = materialise(gone.select(row).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, row, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone: ``lower`` would also change other alphabets."""
     return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))

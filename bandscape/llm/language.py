@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,13 +235,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)    # size bounded by the fitted characters
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = shared.value.predict(rows["_t"].tolist())
-            yield pd.concat([rows.drop(columns="_t").reset_index(drop=True), found], axis=1)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.predict(batch["_t"].to_pylist())
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
+            added = [pa.array(found[c].to_numpy(), k, from_pandas=True) for c, k in zip(found.columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*batch.schema.names[:-1], *found.columns])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("_t")).mapInPandas(
+    return docs.select(*keep, F.col(text).alias("_t")).mapInArrow(
         work, f"{kinds}, lang_pred string, score double, n long, cross_entropy double, rejected boolean")
 
 

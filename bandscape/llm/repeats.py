@@ -5,7 +5,7 @@ window the one with the smallest hash is its anchor, so equal windows have equal
 anchors at the same place.  Consecutive windows with the same anchor form a
 context.  Contexts are grouped by their anchor's hash:
 
-- an anchor seen once has no repeated window and goes at once;
+- an anchor at one place has no repeated window and goes at once;
 - equal contexts are one class from the start, however many copies there are;
 - the distinct contexts of an anchor, which differ at the edges of repeated
   passages, are laid side by side and sorted as suffixes.  Previous and next
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import materialise
+from .common import fresh
 
 SPAN = 200
 GRAM = 80
@@ -67,22 +68,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _sliding(values: np.ndarray, width: int, best: np.ufunc, filler: int) -> np.ndarray:
+    """``best`` of each ``width`` consecutive values."""
+    blocks = np.concatenate([values, np.full(-len(values) % width, np.uint64(filler))]).reshape(-1, width)
+    ahead = best.accumulate(blocks, axis=1).ravel()
+    behind = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(values) - width + 1
+    return best(behind[:count], ahead[width - 1:width - 1 + count])
+
+
 def contexts(data: np.ndarray, rolling: Rolling, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor, context, first window, windows) for all windows of ``data``."""
-    prefix, width, count = rolling.prefix(data), span - gram + 1, len(data) - span + 1
+    """(anchor, context, first window, windows, inner) for all windows of ``data``.
+
+    A periodic stretch has the same anchor at several places of one context; then
+    ``inner`` is set, as windows of the context may equal each other.
+    """
+    prefix, width = rolling.prefix(data), span - gram + 1
     grams = rolling.every(prefix, gram)
-    blocks = np.concatenate([grams, np.full(-len(grams) % width, np.uint64(2**64 - 1))]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
+    least = _sliding(grams, width, np.minimum, 2**64 - 1)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    end = np.concatenate([first[1:], [count]])
+    end = np.concatenate([first[1:], [len(least)]])
+    edge = np.zeros(width - 1, np.uint64)
+    places = np.flatnonzero(grams == _sliding(np.concatenate([edge, least, edge]), width, np.maximum, 0))     # anchors
+    equal = np.concatenate([[0], np.cumsum(grams[places[1:]] == grams[places[:-1]])])
+    low, high = np.searchsorted(places, first), np.searchsorted(places, end + width - 1)
     own = rolling.part(prefix, first, end - 1 + span) ^ _mixed((end - first).astype(np.uint64))
-    return least[first], own, first, end - first
+    return least[first], own, first, end - first, equal[high - 1] > equal[low]
 
 
 def _anchors(docs: DataFrame, row: str, key: str, text: str, span: int, gram: int) -> DataFrame:
-    """(row, key, lo, n, a, c): contexts of all texts; long texts in overlapping chunks."""
+    """(row, key, lo, n, a, c, inner): contexts of all texts; long texts in overlapping chunks."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
@@ -92,19 +107,19 @@ def _anchors(docs: DataFrame, row: str, key: str, text: str, span: int, gram: in
                 for i, t in enumerate(part["t"]):
                     data = np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid and len(t.as_buffer()) else np.zeros(0, np.uint8)
                     for lo in range(0, len(data) - span + 1, CHUNK):
-                        a, c, first, n = contexts(data[lo:lo + CHUNK + span - 1], rolling, span, gram)
-                        found.append((a, c, first + lo, n))
+                        a, c, first, n, inner = contexts(data[lo:lo + CHUNK + span - 1], rolling, span, gram)
+                        found.append((a, c, first + lo, n, inner))
                         owner.append(np.full(len(a), i))
                 if found:
-                    a, c, lo, n = (np.concatenate(x) for x in zip(*found))
+                    a, c, lo, n, inner = (np.concatenate(x) for x in zip(*found))
                     owner = pa.array(np.concatenate(owner))
                     yield pa.RecordBatch.from_arrays(
                         [part["row"].take(owner), part["key"].take(owner), pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32)),
-                         pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["row", "key", "lo", "n", "a", "c"])
+                         pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(inner)], ["row", "key", "lo", "n", "a", "c", "inner"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        work, f"row long, key {kind}, lo long, n int, a long, c long")
+        work, f"row long, key {kind}, lo long, n int, a long, c long, inner boolean")
 
 
 # --- suffix order ---------------------------------------------------------------
@@ -203,15 +218,16 @@ def repeated_spans(docs: DataFrame, row: str, key: str, text: str, keep_first: b
     place, is left out.  Ranges of a row may overlap.
     """
     found = materialise(_anchors(docs, row, key, text, span, gram))
-    again = materialise(found.groupBy("a").agg(F.count("*").alias("_n")).filter("_n > 1").select("a"))
+    again = materialise(found.groupBy("a").agg(F.count("*").alias("_n"), F.max("inner").alias("_i")).filter("_n > 1 or _i").select("a"))
     again = F.broadcast(again) if again.count() <= sent else again
     rows = materialise(found.join(again, "a", "left_semi"))
     at = F.struct(F.col("key").isNotNull().alias("k0"), "key", "row", "lo", "n")        # null keys come first
-    classes = materialise(rows.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(at).alias("first")))
-    groups = classes.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1")
+    classes = materialise(rows.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(at).alias("first"),
+                                                           F.max("inner").alias("inner")))
+    groups = classes.groupBy("a").agg(F.count("*").alias("k"), F.max("inner").alias("i")).filter("k > 1 or i").select("a", "k")
     mixed = materialise(classes.join(groups, "a").select("a", "k", "m", "first", "first.row", "first.lo", "first.n"))
 
-    copies = rows.join(classes.filter("m > 1"), ["a", "c"])
+    copies = rows.join(classes.filter("m > 1").drop("inner"), ["a", "c"])
     if keep_first:
         copies = copies.filter((F.col("row") != F.col("first.row")) | (F.col("lo") != F.col("first.lo")))
     spans = copies.select("row", "lo", (F.col("lo") + F.col("n") + (span - 1)).alias("hi"))
@@ -305,8 +321,8 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]], characters: bool = Fals
     return b"".join([*out, data[at:]])
 
 
-def _with_spans(docs: DataFrame, row: str, spans: DataFrame) -> DataFrame:
-    listed = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("row", row)
+def _with_spans(docs: DataFrame, row: str, spans: DataFrame, name: str) -> DataFrame:
+    listed = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias(name)).withColumnRenamed("row", row)
     return docs.join(listed, row, "left")
 
 
@@ -332,21 +348,26 @@ def digest(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = Fa
     spans = repeated_spans(docs, row, key, text, keep_first, **options)
     rows = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    return _with_spans(rows, "row", spans).select("row", "key", "t", "_spans").mapInArrow(
+    return _with_spans(rows, "row", spans, "_spans").select("row", "key", "t", "_spans").mapInArrow(
         work, f"row long, key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = True, **options) -> DataFrame:
-    """``docs`` with the repeated parts cut out of ``text``, at whole characters."""
+    """``docs`` with the repeated parts cut out of ``text``, at whole characters; all
+    other columns stay as they are."""
+    name = fresh(docs, "_spans")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [kept_bytes(t, merged([(s["lo"], s["hi"]) for s in spans]), True).decode("utf-8", "replace")
-                     for t, spans in zip(batch["t"].to_pylist(), batch["_spans"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "cut"])
-
-    marked = _with_spans(docs, row, materialise(repeated_spans(docs, row, key, text, keep_first, **options)))
-    marked = materialise(marked)
-    cut = marked.filter("_spans is not null").select(F.col(row).alias("row"), F.col(text).cast("binary").alias("t"), "_spans")
-    cut = cut.mapInArrow(work, "row long, cut string").withColumnRenamed("row", row)
-    out = F.when(F.col("_spans").isNotNull(), F.col("cut")).otherwise(F.col(text))
-    return marked.join(cut, row, "left").withColumn(text, out).select(*docs.columns)
+            columns = dict(zip(batch.schema.names, batch.columns))
+            texts = []
+            for t, spans in zip(columns[text].to_pylist(), columns.pop(name).to_pylist()):
+                if spans:
+                    runs = merged([(s["lo"], s["hi"]) for s in spans])
+                    t = kept_bytes(t.encode("utf-8", "surrogatepass"), runs, True).decode("utf-8", "replace")
+                texts.append(t)
+            columns[text] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    spans = repeated_spans(docs, row, key, text, keep_first, **options)
+    return _with_spans(docs, row, spans, name).select(*docs.columns, name).mapInArrow(work, docs.schema)

@@ -37,7 +37,8 @@ def corpus(seed, n=60, letters="ab cdéf"):
         parts += [shared[i] for i in rng.integers(0, 6, int(rng.integers(0, 3)))]
         rng.shuffle(parts)
         out.append("".join(parts))
-    out += [out[0], out[0], None, "", None, "aaaaaaaaaa" * 30, "abababab" * 20, "babababa" * 9, "a" * 19, "a" * 20, "zq" * 10]
+    out += [out[0], out[0], None, "", None, "aaaaaaaaaa" * 30, "abababab" * 20, "babababa" * 9, "a" * 19, "a" * 20, "zq" * 10,
+            *["".join(rng.choice(list("uvwxyz"), k)) * int(60 / k) for k in (2, 3, 5, 7, 11, 13, 17, 19, 21, 29)], "Heer " * 30 + "Ab " * 20]
     return out
 
 
@@ -94,6 +95,6 @@ def test_nothing(spark):
 
 def test_contexts_cover_all_windows_once():
     data = np.random.default_rng(0).integers(0, 3, 5000).astype(np.uint8)
-    _, _, first, n = R.contexts(data, R.Rolling())
+    _, _, first, n, _ = R.contexts(data, R.Rolling())
     assert first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and first[-1] + n[-1] == 4801
     assert max(Counter(n.tolist())) <= R.SPAN
