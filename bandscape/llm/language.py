@@ -124,7 +124,8 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     line = PAD + line + " "
                     for at in range(0, len(line), CHARS):
                         counts.update(line[i:i + ORDER] for i in range(at, min(at + CHARS, len(line) - ORDER + 1)))
-            yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
+            if counts:
+                yield pd.DataFrame({"lang": [lang] * len(counts), "gram": list(counts), "n": list(counts.values())})
 
 
 def _fitted(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
