@@ -233,8 +233,7 @@ def repeated_spans(docs: DataFrame, row: str, key: str, text: str, keep_first: b
     spans = copies.select("row", "lo", (F.col("lo") + F.col("n") + (span - 1)).alias("hi"))
 
     wanted = mixed.select("row", "lo", "n", "a", "k", "m", "first")
-    wanted = F.broadcast(wanted) if wanted.count() * 8 <= sent else wanted
-    data = docs.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("t")).join(wanted, "row")
+    data = _of_rows(docs.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("t")), "row", wanted, sent).join(wanted, "row")
     cut = F.substring(F.col("t"), (F.col("lo") + 1).cast("int"), (F.col("n") + (span - 1)).cast("int"))
     data = materialise(data.select("a", "k", "m", "first", "row", "lo", cut.alias("t")))
     spans = spans.unionByName(_sorted_spans(data.filter(F.col("k") <= crowded), span, keep_first))
@@ -321,12 +320,20 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]], characters: bool = Fals
     return b"".join([*out, data[at:]])
 
 
-def _with_spans(docs: DataFrame, row: str, spans: DataFrame, name: str) -> DataFrame:
+def _of_rows(docs: DataFrame, row: str, rows: DataFrame, sent: int, how: str = "left_semi") -> DataFrame:
+    """Only those texts go into a shuffle that take part in the join to come."""
+    ids = materialise(rows.select(row).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= sent else ids, row, how)
+
+
+def _with_spans(docs: DataFrame, row: str, spans: DataFrame, name: str, sent: int) -> DataFrame:
     listed = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias(name)).withColumnRenamed("row", row)
-    return docs.join(listed, row, "left")
+    listed = materialise(listed)
+    whole = _of_rows(docs, row, listed, sent, "left_anti").withColumn(name, F.lit(None).cast(listed.schema[name].dataType))
+    return _of_rows(docs, row, listed, sent).join(listed, row).unionByName(whole)
 
 
-def digest(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = False, **options) -> DataFrame:
+def digest(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = False, sent: int = SENT, **options) -> DataFrame:
     """(row, key, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``,
     which must be a written table with a unique ``row``.
 
@@ -345,14 +352,14 @@ def digest(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = Fa
                 [batch["row"], batch["key"], *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())],
                 ["row", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeated_spans(docs, row, key, text, keep_first, **options)
+    spans = repeated_spans(docs, row, key, text, keep_first, sent=sent, **options)
     rows = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    return _with_spans(rows, "row", spans, "_spans").select("row", "key", "t", "_spans").mapInArrow(
+    return _with_spans(rows, "row", spans, "_spans", sent).select("row", "key", "t", "_spans").mapInArrow(
         work, f"row long, key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = True, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = True, sent: int = SENT, **options) -> DataFrame:
     """``docs`` with the repeated parts cut out of ``text``, at whole characters; all
     other columns stay as they are."""
     name = fresh(docs, "_spans")
@@ -369,5 +376,5 @@ def without_repeats(docs: DataFrame, row: str, key: str, text: str, keep_first:
             columns[text] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    spans = repeated_spans(docs, row, key, text, keep_first, **options)
-    return _with_spans(docs, row, spans, name).select(*docs.columns, name).mapInArrow(work, docs.schema)
+    spans = repeated_spans(docs, row, key, text, keep_first, sent=sent, **options)
+    return _with_spans(docs, row, spans, name, sent).select(*docs.columns, name).mapInArrow(work, docs.schema)
