@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .runtime import is_written, materialise
 
-# Settings: most group rows that are sent to every executor (a row holds one
-# scene's statistics, a few hundred bytes); the number of slices a group is cut
+# Settings: most group rows, and most bytes of them, that are sent to every
+# executor; the number of slices a group is cut
 # into beyond that, and most group rows that are copied per slice; beyond that,
 # the share 1/n of all rows from which a key counts as hot.
 BROADCAST_ROWS = "spark.bandscape.broadcast.maxRows"
+BROADCAST_BYTES = "spark.bandscape.broadcast.maxBytes"
 SALT_SLICES = "spark.bandscape.salt.slices"
 SALT_ROWS = "spark.bandscape.salt.maxRows"
 HOT_KEYS = "spark.bandscape.hot.maxKeys"
@@ -21,12 +22,17 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(name, str(default)))
 
 
+def _bytes(df: DataFrame) -> int:
+    """Size by the plan's statistics, which start from the bytes of the written table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", cheap: bool = False) -> DataFrame:
     """Join ``groups`` (one row per key) to every row of ``df``.
 
     The group table is computed once, written, and counted from its footers; a
     ``cheap`` one, a projection of a small written table, is not written again.
-    Within the row limit it is broadcast, so ``df`` is not shuffled.  A larger
+    Within the limits of rows and bytes it is broadcast, so ``df`` is not shuffled.  A larger
     one is joined by shuffling both sides on the keys plus a salt; one with so
     many groups that copies per slice would be a burden is joined plainly but
     for its hot keys.  Either way no hot group lands in one task.
@@ -34,7 +40,7 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left",
     if not cheap and not is_written(groups):
         groups = materialise(groups)
     rows = groups.count()
-    if rows <= _setting(df, BROADCAST_ROWS, 100_000):
+    if rows <= _setting(df, BROADCAST_ROWS, 100_000) and _bytes(groups) <= _setting(df, BROADCAST_BYTES, 64 << 20):
         return df.join(F.broadcast(groups), keys, how)
     if rows <= _setting(df, SALT_ROWS, 10_000_000):
         return salted_join(df, groups, keys, how)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TILE = ["scene_id", "_ty", "_tx"]
-_SCALE = 1 << 20
+_SCALE = 1 << 40
 
 
 def tile_bits(reach: int | None = None) -> int:
@@ -32,25 +32,37 @@ def _to_tiles(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE)
 
 
+def radius_bits(radius: Column) -> Column:
+    """log2 of the tile edge for a radius that is constant within a scene: 512
+    pixels, or the first power of two from twice the radius on."""
+    return F.greatest(F.lit(9), F.ceil(F.log2(2 * F.greatest(radius, F.lit(1))))).cast("int")
+
+
+def _tile(c: str | Column, bits: int | str) -> Column:
+    """Tile of a coordinate; ``bits`` is a number or the name of a column."""
+    edge = F.lit(1 << bits) if isinstance(bits, int) else F.expr(f"shiftleft(1, {bits})")
+    return F.floor((F.col(c) if isinstance(c, str) else c) / edge).cast("int")
+
+
 def own_tiles(df: DataFrame, bits: int) -> DataFrame:
     """Shuffle every pixel to its own tile, without copies."""
     return _to_tiles(df.withColumn("_ty", F.shiftright("y", bits)).withColumn("_tx", F.shiftright("x", bits)))
 
 
-def halo_tiles(df: DataFrame, reach: int | Column, bits: int) -> DataFrame:
+def halo_tiles(df: DataFrame, reach: int | Column, bits: int | str) -> DataFrame:
     """Shuffle pixels to their tile and to every tile within ``reach`` of them."""
     reach = F.lit(reach) if isinstance(reach, int) else reach
 
     def touched(c: str) -> Column:
-        low = F.shiftright(F.greatest(F.col(c) - reach, F.lit(0)), bits)
-        return F.explode(F.sequence(low, F.shiftright(F.col(c) + reach, bits)))
+        low = _tile(F.greatest(F.col(c) - reach, F.lit(0)), bits)
+        return F.explode(F.sequence(low, _tile(F.col(c) + reach, bits)))
 
     return _to_tiles(df.withColumn("_ty", touched("y")).withColumn("_tx", touched("x")))
 
 
-def own_pixels(df: DataFrame, bits: int) -> DataFrame:
+def own_pixels(df: DataFrame, bits: int | str) -> DataFrame:
     """Drop the copies again: each pixel survives only in its own tile."""
-    inside = (F.shiftright("y", bits) == F.col("_ty")) & (F.shiftright("x", bits) == F.col("_tx"))
+    inside = (_tile("y", bits) == F.col("_ty")) & (_tile("x", bits) == F.col("_tx"))
     return df.filter(inside).drop("_ty", "_tx")
 
 
@@ -71,7 +83,7 @@ def _framed(axis: str, before, after) -> WindowSpec:
         return along(axis).rangeBetween(-before, after)
     # Radius per row (constant within a scene): scale the ordering so that a
     # distance of at most the radius is a distance of at most a constant.  This
-    # is exact for radii below 1024.
+    # is exact for radii and coordinates below a million.
     line = "y" if axis == "x" else "x"
     key = F.col(axis).cast("bigint") * F.floor(F.lit(_SCALE) / before)
     return Window.partitionBy(*TILE, line).orderBy(key).rangeBetween(-_SCALE, _SCALE)
@@ -99,6 +111,9 @@ def box_aggregate(df: DataFrame, measures: dict[str, tuple[str, Column]], before
     if isinstance(before, int):
         reach = max(before, before if after is None else after)
         bits = tile_bits(reach) if bits is None else bits
+    elif bits is None:
+        df = df.withColumn("_bits", radius_bits(before))
+        return own_pixels(box_windows(halo_tiles(df, before, "_bits"), measures, before, after), "_bits").drop("_bits")
     else:
-        reach, bits = before, 9 if bits is None else bits
+        reach = before
     return own_pixels(box_windows(halo_tiles(df, reach, bits), measures, before, after), bits)

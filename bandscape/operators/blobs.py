@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tiles as tl
+from ..functions.graph import components
 from ..functions.joins import attach
 from ..functions.runtime import materialise
 from ..schema import PIXEL
@@ -79,28 +80,10 @@ def _border_edges(runs: DataFrame, bits: int) -> DataFrame:
     return met.filter(F.col("region") != F.col("other")).select("scene_id", "region", "other").distinct()
 
 
-def _merge_regions(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _merge_regions(edges: DataFrame) -> DataFrame:
     """Smallest region connected to each region, as (scene_id, region, root)."""
-    links = materialise(edges.unionByName(edges.select("scene_id", F.col("other").alias("region"),
-                                                       F.col("region").alias("other"))))
-    roots = materialise(links.groupBy("scene_id", "region")
-                        .agg(F.least(F.min("other"), F.first("region")).alias("root")))
-    for _ in range(max_rounds):
-        near = (links.join(roots.select("scene_id", F.col("region").alias("other"), "root"), ["scene_id", "other"])
-                .groupBy("scene_id", "region").agg(F.min("root").alias("_near")))
-        hooked = materialise(roots.join(near, ["scene_id", "region"])
-                             .select("scene_id", "region", F.col("root").alias("_old"),
-                                     F.least("root", "_near").alias("root")))
-        # Pointer jump: take over the root of the root.  Many regions share one
-        # root, hence the size-checked or salted join.
-        jump = hooked.select("scene_id", F.col("region").alias("root"), F.col("root").alias("_next"))
-        moved = materialise(attach(hooked, jump, ["scene_id", "root"], cheap=True)
-                            .select("scene_id", "region", "_old",
-                                    F.least(F.coalesce("_next", "root"), F.col("root")).alias("root")))
-        roots = moved.select("scene_id", "region", "root")
-        if moved.filter(F.col("_old") != F.col("root")).isEmpty():
-            return roots
-    raise RuntimeError("blob labelling did not settle")
+    links = edges.select(F.struct("scene_id", "region").alias("a"), F.struct("scene_id", F.col("other").alias("region")).alias("b"))
+    return components(links, "a", "b").select("node.scene_id", "node.region", F.col("label.region").alias("root"))
 
 
 def label_runs(mask: DataFrame, bits: int = 9) -> DataFrame:

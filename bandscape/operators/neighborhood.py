@@ -175,7 +175,7 @@ def binarise_local(df: DataFrame, value="value", stroke: int | None = None, medi
     edges = contrast_edges(local_contrast(df, value, bits=bits))
     if stroke is None:
         edges = attach(edges, stroke_width(edges), ["scene_id"])
-        radius, least = F.least(F.col("stroke_width"), F.lit(1023)), F.col("stroke_width")
+        radius, least = F.coalesce("stroke_width", F.lit(1)), F.col("stroke_width")
     else:
         radius, least = stroke, stroke
     found = local_threshold(edges, radius, least, value, bits)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,9 @@ def forest_score(signal: DataFrame, mask: DataFrame | None = None, n: int = 1000
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_class", maxDepth=7, minInstancesPerNode=50,
                                     featureSubsetStrategy="all", numTrees=trees, seed=seed)
     model = Pipeline(stages=[assemble, forest]).fit(sample)
-    scored = model.transform(unit)
-    return scored.select(*PIXEL, F.col("prediction").alias("score"),
-                         vector_to_array("probability")[1].alias("probability"))
+    whole = reduce(lambda a, b: a & b, [F.col(f"_f{i}").isNotNull() for i in range(len(bands))])
+    scored = model.transform(unit.filter(whole)).select(
+        *PIXEL, F.col("prediction").alias("score"), vector_to_array("probability")[1].alias("probability"))
+    # A pixel without all bands keeps its row, without a score.
+    none = F.lit(None).cast("double")
+    return scored.unionByName(unit.filter(~whole).select(*PIXEL, none.alias("score"), none.alias("probability")))

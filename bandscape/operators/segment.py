@@ -6,6 +6,8 @@ side, colour), which are far fewer rows than pixels; a scene's model is one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -138,7 +140,7 @@ def _nearest(counts: DataFrame, components: DataFrame) -> DataFrame:
     return _choose(counts, components, _closeness)
 
 
-def start_components(counts: DataFrame, kmeans_rounds: int = 5) -> DataFrame:
+def start_components(counts: DataFrame, kmeans_rounds: int = 10) -> DataFrame:
     """Components of a k-means clustering of each side, from quintiles."""
     components = materialise(learn(_start(counts)))
     for _ in range(kmeans_rounds):
@@ -171,7 +173,7 @@ def gmm_round(table: DataFrame, components: DataFrame, counts: DataFrame | None
     return label_by_cost(unary_costs(table, learned)), learned
 
 
-def gmm_segment(table: DataFrame, kmeans_rounds: int = 5) -> DataFrame:
+def gmm_segment(table: DataFrame, kmeans_rounds: int = 10) -> DataFrame:
     """Segmentation of features ``c0 … c2`` under a ``trimap``: start components,
     one round, and the label with both costs."""
     counts = materialise(colour_counts(table))
@@ -219,16 +221,26 @@ def _sweep(part: pd.DataFrame, sweeps: int) -> pd.DataFrame:
 
 
 def smooth_labels(costs: DataFrame, beta: DataFrame, sweeps: int = 3, bits: int = 8) -> DataFrame:
-    """Lower the Potts energy of the labels: unary costs plus contrast-dependent
-    weights between differing 8-neighbours.
+    """Lower the Potts energy of the labels until it rests: unary costs plus
+    contrast-dependent weights between differing 8-neighbours.
 
     A sweep carries influence at most four pixels far, so tiles with a rim of
     ``4 · sweeps`` pixels give exactly the result of sweeping whole images.
+    Passes of ``sweeps`` sweeps go on while any label of a scene changes; scenes
+    at rest take no further part.  The energy never rises, so all of them rest.
     This finds a local minimum of the energy, not the global one of a graph cut.
     """
-    tiled = tl.halo_tiles(attach(costs, beta, ["scene_id"]), 4 * sweeps, bits)
-    swept = tiled.groupBy(*tl.TILE).applyInPandas(lambda part: _sweep(part, sweeps), tiled.schema)
-    return tl.own_pixels(swept, bits).drop("beta")
+    active, resting = attach(costs, beta, ["scene_id"]), []
+    while True:
+        tiled = tl.halo_tiles(active.withColumn("_before", F.col("label")), 4 * sweeps, bits)
+        swept = tiled.groupBy(*tl.TILE).applyInPandas(lambda part: _sweep(part, sweeps), tiled.schema)
+        swept = materialise(tl.own_pixels(swept, bits))
+        moved = materialise(swept.filter("label <> _before").select("scene_id").distinct())
+        swept = swept.drop("_before")
+        if moved.isEmpty():
+            return reduce(DataFrame.unionByName, [*resting, swept]).drop("beta")
+        resting.append(attach(swept, moved, ["scene_id"], "left_anti"))
+        active = attach(swept, moved, ["scene_id"], "left_semi")
 
 
 def potts_energy(labelled: DataFrame, beta: DataFrame) -> DataFrame:
@@ -299,12 +311,13 @@ def _segment(table: DataFrame, components: DataFrame, beta: DataFrame, sweeps: i
 
 
 def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, erosions: int = 100,
-           sweeps: int = 3, kmeans_rounds: int = 5, preset="score") -> DataFrame:
+           sweeps: int = 3, kmeans_rounds: int = 10, preset="score") -> DataFrame:
     """Segment, then refine until no pixel violates the stroke criterion.
 
     ``table``: scene_id, y, x, c0, c1, c2, score, base (the mask).  A scene leaves
     the loop once it has no violations; one last round follows.  Returns the
-    table with ``label``.
+    table with ``label`` and ``settled``, false for scenes that still had
+    violations when the rounds ran out.
     """
     columns = [*PIXEL, *COLOURS, "score", "base"]
     guide = trimap_label(F.col("score"), F.col("base"), preset)
@@ -312,7 +325,7 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
     beta = materialise(contrast_scale(table))
     counts = materialise(colour_counts(table))
     active, components = _segment(table, start_components(counts, kmeans_rounds), beta, sweeps, counts)
-    finished = []
+    finished, late = [], None
     for _ in range(rounds):
         deep = materialise(erosion_depth(active, erosions + 1))
         ends = materialise(stroke_violations(deep, limit, erosions))
@@ -324,9 +337,16 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
                  .withColumn("score", F.when(F.col("violation"), 0.0).otherwise(F.col("score")))
                  .withColumn("trimap", guide).select(*active.columns))
         active, learned = _segment(again, components, beta, sweeps)
-        # Scenes that left the loop keep their last model.
-        components = materialise(learned.unionByName(
-            components.join(ends.filter("violations = 0"), "scene_id", "left_semi").select(*learned.columns)))
+        # Scenes outside of this round keep their last model.
+        left = attach(components, learned.select("scene_id").distinct(), ["scene_id"], "left_anti")
+        components = materialise(left.unionByName(learned))
+        late = ends.filter("violations > 0").select("scene_id")
+    else:
+        rounds = None
     for part in finished:
         active = active.unionByName(part)
-    return _segment(active, components, beta, sweeps)[0].select(*columns, "trimap", "label")
+    labelled = _segment(active, components, beta, sweeps)[0].select(*columns, "trimap", "label")
+    if rounds is not None or late is None:
+        return labelled.withColumn("settled", F.lit(True))
+    return attach(labelled, late.withColumn("settled", F.lit(False)), ["scene_id"]).withColumn(
+        "settled", F.coalesce("settled", F.lit(True)))

@@ -127,12 +127,15 @@ def flag_outliers(signal: DataFrame, mask: DataFrame | None = None, w: float = 1
 
 
 def histogram(df: DataFrame, value: str = "value") -> DataFrame:
-    """Counts of the 256 grey values per scene, empty bins included."""
-    counts = df.groupBy("scene_id", F.col(value).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    # At most 256 entries per scene.
-    by_scene = counts.groupBy("scene_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"))
-    return (by_scene.select("scene_id", "_m", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
+    """Counts of the grey values per scene, empty bins included: bins 0 to 255,
+    and on to the smallest and largest value of deep samples.  Null samples are
+    not counted; a scene of null samples alone has empty bins."""
+    bins = df.groupBy("scene_id", F.col(value).cast("int").alias("bin")).agg(F.count(value).alias("n"))
+    # One entry per distinct value of a scene.
+    by_scene = bins.groupBy("scene_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("_m"),
+        F.least(F.lit(0), F.min("bin")).alias("_low"), F.greatest(F.lit(255), F.max("bin")).alias("_high"))
+    return (by_scene.select("scene_id", "_m", F.explode(F.sequence("_low", "_high")).alias("bin"))
             .select("scene_id", "bin", F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).alias("n")))
 
 

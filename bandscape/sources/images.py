@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +23,69 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _deep_png(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of PNG files with 16-bit samples (bit-depth byte at offset 24)."""
-    head = F.hex(F.substring(F.col("content"), 1, 25))
-    return (spark.read.format("binaryFile").load(path)
-            .filter((F.substring(head, 3, 6) == "504E47") & (F.substring(head, 49, 2) == "10"))
-            .select(_plain(F.col("path")).alias("path")))
+def sample_bits(data: bytes) -> int:
+    """Bits per sample that an image file's header states; 8 if it states none.
+
+    Headers read are those of PNG, TIFF and JPEG; a TIFF whose directory can't be
+    read counts as 64.
+    """
+    if data[1:4] == b"PNG":
+        return data[24] if len(data) > 24 else 8
+    if data[:2] in (b"II", b"MM"):
+        return _tiff_bits(data)
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 < len(data) and data[at] == 0xFF:
+            if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):     # start of frame
+                return data[at + 4]
+            at += 2 + int.from_bytes(data[at + 2:at + 4], "big")
+    return 8
+
+
+def _tiff_bits(data: bytes) -> int:
+    """Largest value of tag 258 in the first directory; without the tag a sample has one bit."""
+    order = "little" if data[:2] == b"II" else "big"
+
+    def number(at: int, size: int) -> int:
+        if at + size > len(data):
+            raise ValueError("header beyond the end")
+        return int.from_bytes(data[at:at + size], order)
+
+    try:
+        if number(2, 2) != 42:                              # other layouts are not decoded either
+            return 64
+        directory, bits = number(4, 4), 1
+        for entry in range(directory + 2, directory + 2 + 12 * number(directory, 2), 12):
+            if number(entry, 2) == 258:
+                count = number(entry + 4, 4)
+                start = entry + 8 if count <= 2 else number(entry + 8, 4)
+                bits = max(number(start + 2 * i, 2) for i in range(count))
+        return bits
+    except ValueError:
+        return 64
+
+
+def _deep_files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of image files with more than 8 bits per sample, by their headers."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deep = [sample_bits(head.as_py()) > 8 for head in batch["head"]]
+            yield pa.RecordBatch.from_arrays([batch["path"].filter(pa.array(deep, pa.bool_()))], ["path"])
+
+    content = F.col("content")
+    tiff = F.hex(F.substring(content, 1, 2)).isin("4949", "4D4D")      # its directory may stand anywhere
+    head = F.when(tiff, content).otherwise(F.substring(content, 1, 1 << 16)).alias("head")
+    return spark.read.format("binaryFile").load(path).select(_plain(F.col("path")).alias("path"), head).mapInArrow(work, "path string")
 
 
 def _images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images; 16-bit files are dropped since the decoder would keep
-    only the low byte of each sample without saying so."""
+    """Decoded images; files of deeper samples than 8 bits, whatever their format,
+    are dropped since the decoder would keep only the low byte of each sample
+    without saying so."""
     decoded = (spark.read.format("image").load(path).select("image.*")
                .withColumn("path", _plain(F.col("origin"))))
     part = F.split("path", "/")
-    return (attach(decoded, _deep_png(spark, path), ["path"], "left_anti")
+    return (attach(decoded, _deep_files(spark, path), ["path"], "left_anti")
             .withColumn("name", F.element_at(part, -1))
             .withColumn("scene", F.coalesce(F.try_element_at(part, F.lit(-2)), F.lit("")))
             .withColumn("scene_id", F.xxhash64(F.regexp_replace("path", "/[^/]*$", ""))))

@@ -551,7 +551,7 @@ def gmm_segment(spark, sf):
 @query
 def smooth_labels(spark, sf):
     table = fx.features8(spark, sf)
-    return SG.smooth_labels(SG.gmm_segment(table, 0), M.contrast_scale(table)).select(*PIXEL, "label")
+    return SG.smooth_labels(SG.gmm_segment(table), M.contrast_scale(table)).select(*PIXEL, "label")
 
 
 @query
@@ -565,14 +565,14 @@ def refine_round(spark, sf):
 
 @query
 def refine(spark, sf):
-    return SG.refine(fx.features8(spark, sf), kmeans_rounds=1).select(*PIXEL, "label")
+    return SG.refine(fx.features8(spark, sf)).select(*PIXEL, "label")
 
 
 # --- whole scenes ------------------------------------------------------------
 
 @query
 def binarize_msi(spark, sf):
-    return PL.binarize_msi(fx.raster8(spark, sf), min_area=3, kmeans_rounds=1)
+    return PL.binarize_msi(fx.raster8(spark, sf), min_area=3)
 
 
 @query
@@ -580,7 +580,7 @@ def binarize_rgb(spark, sf):
     c = fx.colours(spark, sf)
     bands = images.split_channels(c.select(*PIXEL, F.lit(3).alias("channels"), F.col("b").alias("c0"),
                                            F.col("g").alias("c1"), F.col("r").alias("c2")))
-    return PL.binarize_rgb(bands, min_area=3, kmeans_rounds=1)
+    return PL.binarize_rgb(bands, min_area=3)
 
 
 @query

@@ -6,9 +6,11 @@ from __future__ import annotations
 import math
 import re
 
-from .operators.bands import TRIMAP_PRESETS
-from .operators.neighborhood import EPSILON
-from .operators.segment import NOISE, SINGULAR
+# Fixed values, written out here so that a wrong one in an operator shows.
+TRIMAP_PRESETS = {"score": (0.3, 0.1, 0.0, 0.0), "forest": (0.95, 0.8, 0.4, 0.1)}
+EPSILON = 1e-6
+NOISE = 0.01
+SINGULAR = 1e-9
 
 # --- expressions -------------------------------------------------------------
 

@@ -75,3 +75,20 @@ def test_empty_mask(spark):
     empty = table(spark, {0: np.zeros((4, 4), int)}, "label")
     assert BL.label_blobs(empty).count() == 0
     assert image(BL.remove_isolated(empty), "label").sum() == 0
+
+
+def comb(teeth, length):
+    mask = np.zeros((length, 4 * teeth - 3), int)
+    mask[:, ::4] = 255
+    mask[-1] = 255
+    return mask
+
+
+@pytest.mark.parametrize("mask", [comb(2, 160), comb(12, 20)], ids=["U", "comb"])
+def test_long_regions_settle_in_few_rounds(spark, monkeypatch, mask):
+    from bandscape.functions import graph
+    rounds = []
+    monkeypatch.setattr(graph, "_digest", lambda pairs, digest=graph._digest: rounds.append(1) or digest(pairs))
+    ids = labels(BL.label_blobs(table(spark, {0: mask}, "label"), 1))
+    tiles = mask.size / 4
+    assert set(ids.values()) == {0} and len(rounds) <= 2 * np.log2(tiles)

@@ -101,3 +101,12 @@ def test_forest_separates_classes(spark):
     big, label = np.tile(cube, (4, 3, 1)), np.tile(np.where(LABEL == 255, 255, 0), (4, 3))
     out = SC.forest_score(signal(spark, big, label), trees=5)
     assert (image(out, "score") == (label == 255)).all()
+
+
+def test_forest_keeps_rows_with_a_missing_band(spark):
+    rng = np.random.default_rng(1)
+    cube = rng.integers(0, 256, (20, 20, 3))
+    df = signal(spark, cube, np.where(cube[:, :, 0] > 128, 255, 0))
+    df = df.withColumn("b2", F.when((F.col("y") > 0) | (F.col("x") > 4), F.col("b2")))
+    out = SC.forest_score(df, n=100, trees=3).toPandas()
+    assert len(out) == 400 and out.score.isna().sum() == 5 and out.score.dropna().isin([0.0, 1.0]).all()

@@ -147,3 +147,31 @@ def test_score_map_of_scenes_with_different_band_counts(spark):
 def test_colour_view(spark):
     out = PL.visualize_msi(pixels(spark)).toPandas()
     assert len(out) == INK.size and out[["r", "g", "b"]].stack().between(0, 255).all()
+
+
+def test_smoothing_rests(spark, costs):
+    beta = M.contrast_scale(costs)
+    once = SG.smooth_labels(costs, beta, 1)
+    assert (image(once, "label") == image(SG.smooth_labels(once, beta, 4), "label")).all()
+
+
+def stained(width):
+    """A scene that leaves the refinement after more rounds the wider its stain."""
+    cube, ink = CUBE.copy(), INK.copy()
+    if width:
+        cube[6:24, 26:26 + width, :7] = 80
+    return cube, ink & (np.arange(40) < 24)
+
+
+def test_every_scene_is_refined_as_if_alone(spark):
+    def features_of(scene, width):
+        cube, ink = stained(width)
+        df = B.feature_composite(signal(spark, cube, np.where(ink, 255, 0), scene))
+        return df.withColumn("score", F.when(F.col("c1") < 120, 0.9).otherwise(0.0)).withColumnRenamed("label", "base")
+
+    tables = [features_of(k, w) for k, w in enumerate((0, 6, 12))]
+    both = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    together = SG.refine(both, kmeans_rounds=2)
+    for k, alone in enumerate(tables):
+        assert (image(SG.refine(alone, kmeans_rounds=2), "label") == image(together, "label", k)).all()
+    assert together.select("settled").distinct().count() == 1

@@ -138,3 +138,34 @@ def test_mask_sink_is_inverted_and_partitioned(spark, tmp_path):
 def test_rotation(spark, turns):
     got = image(sinks.rotate_quarter(table(spark, {0: GREY}, "value"), turns), "value")
     assert (got == np.rot90(GREY, turns)).all()
+
+
+def tiff(path, pixels, bits=8, order="<", channels=1):
+    """Write a TIFF of one strip whose directory follows the samples."""
+    a = np.asarray(pixels).astype(order + ("u2" if bits == 16 else "u1"))
+    data = a.tobytes() + b"\0" * (a.nbytes % 2)
+    extra = 8 + len(data)
+    many = struct.pack(order + f"{channels}H", *[bits] * channels)
+    at = extra + (len(many) if channels > 2 else 0)
+    depth = struct.pack(order + "I", extra) if channels > 2 else many.ljust(4, b"\0")
+    short = lambda tag, v: struct.pack(order + "HHIHH", tag, 3, 1, v, 0)
+    tags = [short(256, a.shape[1]), short(257, a.shape[0]), struct.pack(order + "HHI", 258, 3, channels) + depth, short(259, 1),
+            short(262, 1 if channels == 1 else 2), struct.pack(order + "HHII", 273, 4, 1, 8), short(277, channels),
+            short(278, a.shape[0]), struct.pack(order + "HHII", 279, 4, 1, a.nbytes)]
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at)
+    path.write_bytes(head + data + (many if channels > 2 else b"") + struct.pack(order + "H", len(tags)) + b"".join(tags) + b"\0" * 4)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_deep_tiff_is_refused(spark, tmp_path, order):
+    tiff(tmp_path / "F1.tif", GREY, order=order)
+    tiff(tmp_path / "F2.tif", [[300, 400], [500, 600]], 16, order)
+    tiff(tmp_path / "F3.tif", COLOUR * 300, 16, order, 3)
+    assert [images.sample_bits((tmp_path / f"F{k}.tif").read_bytes()) for k in (1, 2, 3)] == [8, 16, 16]
+    assert {r.name for r in images.list_files(spark, str(tmp_path)).collect()} == {"F1.tif"}
+
+
+def test_headers():
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"\0" * 14 + b"\xff\xc0\x00\x0b" + bytes([12]) + b"\0" * 9
+    assert images.sample_bits(jpeg) == 12 and images.sample_bits(b"") == 8 and images.sample_bits(b"GIF89a") == 8
+    assert images.sample_bits(b"II*\0\xff\xff\0\0") == 64 and images.sample_bits(b"II+\0" + b"\0" * 20) == 64

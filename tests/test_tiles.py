@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from helpers import image, table
+from pyspark.sql import functions as F
 
 from bandscape.functions import tiles as tl
 from bandscape.operators import masks as M
@@ -96,3 +97,13 @@ def test_run_edges_across_column_blocks(spark):
     got = {(r.y, r.ax0, r.bx0) for r in M.run_edges(runs, block=4).collect()}
     assert got == {(0, 0, 3), (0, 0, 10), (1, 3, 0), (1, 10, 0), (1, 14, 0)}
     assert M.run_edges(runs, block=4).count() == len(got)
+
+
+def test_radius_beyond_a_thousand(spark):
+    wide = np.zeros((1, 5200), int)
+    wide[0, [0, 1500, 1501, 5000]] = [5, 7, 1, 2]
+    df = table(spark, {0: wide, 1: wide[:, :40]}, "value").withColumn("r", F.when(F.col("scene_id") == 0, 1500).otherwise(3))
+    out = tl.box_aggregate(df, {"s": ("sum", F.col("value"))}, F.col("r"))
+    got = image(out, "s")[0]
+    assert (got == [wide[0, max(0, x - 1500):x + 1501].sum() for x in range(5200)]).all()
+    assert (image(out, "s", 1)[0] == [wide[0, max(0, x - 3):min(40, x + 4)].sum() for x in range(40)]).all()
