@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from ..functions.runtime import materialise
 from .pieces import MODEL, SPACE, load
 
 ROUNDS = 2                  # passes that re-estimate the scores
+CLASSES = 8                 # labels told apart, the commonest ones
 FREQUENT = 100_000          # words above 1/FREQUENT of all tokens are looked up without a shuffle: fewer than that
 CHUNK = 20_000              # words of one length in hand at once
 PRIOR = 0.01                # added to each piece's expected count
@@ -41,7 +43,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str], log_p: np.ndarray, byte: float, stop: float):
         """``byte`` and ``stop``: log probabilities of one byte and of a word's end."""
-        self.log_p, self.byte, self.stop = log_p, byte, stop
+        self._score(log_p, byte, stop)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(p) for p in pieces])
         for n in np.unique(lengths).tolist():
@@ -50,6 +52,16 @@ class Lattice:
             order = np.argsort(hashes)
             self.tables[n] = hashes[order], which[order]
 
+    def _score(self, log_p: np.ndarray, byte: float, stop: float) -> None:
+        self.log_p, self.byte, self.stop = log_p, byte, stop
+
+    def rescored(self, weight: np.ndarray, single: float, stop: float) -> Lattice:
+        """The same pieces with scores from weights of pieces, of bytes in all, and of ends."""
+        total = weight.sum() + single + stop
+        other = copy(self)
+        other._score(np.log(weight / total), math.log(single / 256 / total), math.log(stop / total))
+        return other
+
     def _arcs(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end the arcs into it: (start, rows, pieces)."""
         hashes, width = _prefix_hashes(codes), codes.shape[1]
@@ -77,10 +89,7 @@ class Lattice:
 
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of the summed probability of all segmentations."""
-        out = np.empty(len(words))
-        for which, codes in _by_length(words):
-            out[which] = self._forward(codes, self._arcs(codes), self.byte * _utf8(codes).T)[-1] + self.stop
-        return out
+        return log_probabilities([self], words)[0]
 
     def expected(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
         """Expected uses of each piece, and of single bytes, over weighted words."""
@@ -102,6 +111,16 @@ class Lattice:
         return pieces, single
 
 
+def log_probabilities(lattices: list[Lattice], words: list[str]) -> np.ndarray:
+    """A row for each of several scorings of the same pieces."""
+    out = np.empty((len(lattices), len(words)))
+    for which, codes in _by_length(words):
+        arcs, size = lattices[0]._arcs(codes), _utf8(codes).T
+        for k, lattice in enumerate(lattices):
+            out[k, which] = lattice._forward(codes, arcs, lattice.byte * size)[-1] + lattice.stop
+    return out
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
@@ -136,96 +155,125 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_counts(docs: DataFrame, text: Column, held_out: Column) -> DataFrame:
-    """(word, n, n_all): uses in training texts and in all; the end is the word ''."""
+def classes(docs: DataFrame, label: Column | None, held_out: Column) -> list[tuple[str | None, int]]:
+    """The commonest labels of training texts and their numbers; all other texts
+    and those without a label are the class None."""
+    if label is None:
+        return [(None, docs.filter(~held_out).count())]
+    sizes = docs.filter(~held_out).groupBy(label.cast("string").alias("label")).agg(F.count("*").alias("n"))
+    named = sizes.filter("label is not null").orderBy(F.desc("n"), "label").limit(CLASSES).collect()
+    rest = (sizes.agg(F.sum("n")).first()[0] or 0) - sum(r.n for r in named)
+    return [(r.label, r.n) for r in named] + [(None, rest)] * (rest > 0 or not named)
+
+
+def word_counts(docs: DataFrame, text: Column, held_out: Column, kind: Column, kinds: int) -> DataFrame:
+    """(word, n_all, c0, c1, ...): uses in all texts, and in the training texts of
+    each class; the end is the word ''."""
+    names = ["word", "n_all", *[f"c{k}" for k in range(kinds)]]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            every, train = Counter(), Counter()
-            for t, held in zip(rows["t"], rows["held"]):
+            every, train = Counter(), [Counter() for _ in range(kinds)]
+            for t, held, k in zip(rows["t"], rows["held"], rows["k"]):
                 found = tokens(t)
                 every.update(found)
                 every[b""] += 1
                 if not held:
-                    train.update(found)
-                    train[b""] += 1
+                    train[k].update(found)
+                    train[k][b""] += 1
             words = list(every)
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in words],
-                                "n": np.fromiter((train[w] for w in words), np.int64, len(words)),
-                                "n_all": np.fromiter(every.values(), np.int64, len(words))})
+            counts = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in (every, *train)]
+            yield pd.DataFrame(dict(zip(names, [[w.decode("utf-8", "replace") for w in words], *counts])))
 
-    counted = docs.select(text.alias("t"), held_out.alias("held")).mapInPandas(work, "word string, n long, n_all long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    counted = docs.select(text.alias("t"), held_out.alias("held"), kind.alias("k")).mapInPandas(
+        work, ", ".join(f"{c} {'string' if c == 'word' else 'long'}" for c in names))
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
-def train(counts: DataFrame, path: str = MODEL, rounds: int = ROUNDS) -> Lattice:
-    """Re-estimate the existing scores on all distinct training words of ``counts``.
+def train(counts: DataFrame, kinds: int = 1, path: str = MODEL, rounds: int = ROUNDS) -> list[Lattice]:
+    """Re-estimate the existing scores, for each class on all its distinct training
+    words in ``counts`` (word, c0, c1, ...).
 
-    What reaches the driver is one number for each piece of the vocabulary.
+    What reaches the driver is one number for each piece of the vocabulary and class.
     """
     vocabulary = load(path)
     pieces = vocabulary.pieces
     rank = np.argsort(np.argsort(-np.array(vocabulary.scores), kind="stable"))
     weight = 1.0 / (rank + 10)
-    lattice = _normalised(pieces, weight, float(weight.min()) * 256, float(weight.sum()) / 4)
-    words = counts.filter("n > 0 and word <> ''").select("word")
+    first = Lattice(pieces, weight, 0, 0).rescored(weight, float(weight.min()) * 256, float(weight.sum()) / 4)
+    lattices = [first] * kinds
+    each = [f"c{k}" for k in range(kinds)]
+    words = counts.filter(F.col("word") != END).filter(" or ".join(f"{c} > 0" for c in each)).select("word", *each)
     for _ in range(rounds):
-        def work(batches: Iterator[pd.DataFrame], lattice: Lattice = lattice) -> Iterator[pd.DataFrame]:
-            uses, single, stops = np.zeros(len(lattice.log_p)), 0.0, 0
+        def work(batches: Iterator[pd.DataFrame], lattices: list[Lattice] = lattices) -> Iterator[pd.DataFrame]:
+            totals = np.zeros((kinds, len(pieces) + 2))         # pieces, bytes, ends
             for rows in batches:
-                some, more = lattice.expected([SPACE + w for w in rows["word"]], np.ones(len(rows)))
-                uses, single, stops = uses + some, single + more, stops + len(rows)
-            used = np.flatnonzero(uses)
-            yield pd.DataFrame({"piece": [*used.tolist(), -1, -2], "uses": [*uses[used].tolist(), single, float(stops)]})
-
-        uses = dict(words.mapInPandas(work, "piece int, uses double").groupBy("piece").agg(F.sum("uses")).toPandas().to_numpy())
-        weight = np.array([uses.get(i, 0.0) for i in range(len(pieces))]) + PRIOR
-        lattice = _normalised(pieces, weight, uses.get(-1, 0.0) + PRIOR * 256, uses.get(-2, 0.0) + PRIOR)
-    return lattice
-
-
-def _normalised(pieces: list[str], weight: np.ndarray, single: float, stop: float) -> Lattice:
-    total = weight.sum() + single + stop
-    return Lattice(pieces, np.log(weight / total), math.log(single / 256 / total), math.log(stop / total))
-
-
-def _batch(row, word, uses, key, held, n_tokens, n_known, base, total) -> pa.RecordBatch:
-    """One text or one word of a text a row; a text's own ``word`` starts with a tab, which no word holds."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array(row, pa.int64()), pa.array(word, pa.string()), pa.array(uses, pa.int64()), key, pa.array(held, pa.bool_()),
-         pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())],
-        ["row", "word", "uses", "key", "held", "n_tokens", "n_known", "base", "score"])
-
-
-def score(docs: DataFrame, key: str, text: str, held_out: Column, path: str = MODEL) -> DataFrame:
+                for k, c in enumerate(each):
+                    own = [SPACE + w for w in rows["word"][rows[c] > 0]]
+                    some, single = lattices[k].expected(own, np.ones(len(own)))
+                    totals[k] += [*some, single, len(own)]
+            kind, piece = np.nonzero(totals)
+            yield pd.DataFrame({"kind": kind, "piece": piece, "uses": totals[kind, piece]})
+
+        uses = np.zeros((kinds, len(pieces) + 2))
+        found = words.mapInPandas(work, "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses"))
+        found = found.toPandas()
+        uses[found["kind"], found["piece"]] = found["uses"]
+        lattices = [first.rescored(u[:-2] + PRIOR, u[-2] + PRIOR * 256, u[-1] + PRIOR) for u in uses]
+    return lattices
+
+
+def score(docs: DataFrame, key: str, text: str, held_out: Column, label: Column | None = None, path: str = MODEL) -> DataFrame:
     """(row, key, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
-    A null text counts as empty and consists of its end alone.  Repeated rows give
-    a result each.  With no training text every word is scored by the lattice.
+    With a ``label`` of the training texts, such as their language, the score sums
+    over the classes it gives; the label of a text is no input of its score.  A null
+    text counts as empty and consists of its end alone.  Repeated rows give a result
+    each.  With no training text every word is scored by the lattice.
     """
-    counts = materialise(word_counts(docs, F.col(text), held_out))
-    n, v, n1, n2, n_all = counts.agg(F.sum("n"), *[F.count_if(F.expr(e)) for e in ("n > 0", "n = 1", "n = 2")], F.sum("n_all")).first()
-    n, n_all = n or 0, n_all or 0
+    named = classes(docs, label, held_out)
+    kinds, prior = len(named), [math.log10(max(n, 1) / max(1, sum(n for _, n in named))) for _, n in named]
+    kind = F.lit(kinds - 1)
+    for k, (value, _) in enumerate(named):
+        if value is not None:
+            kind = F.when(label.cast("string") == value, k).otherwise(kind)
+    each = [f"c{k}" for k in range(kinds)]
+    counts = word_counts(docs, F.col(text), held_out, kind, kinds).withColumn("n", F.expr(" + ".join(each)))
+    counts = materialise(counts)
+    facts = counts.agg(F.sum("n"), *[F.count_if(F.expr(e)) for e in ("n > 0", "n = 1", "n = 2")], F.sum("n_all"),
+                       *[x for c in each for x in (F.sum(c), F.count_if(F.col(c) > 0))]).first()
+    n, v, n1, n2, n_all, *by_kind = [x or 0 for x in facts]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    lattice = train(counts, path)
-    backoff = math.log(discount * v / n) if n else math.log(0.5)
+    lattices = train(counts, kinds, path)
+    scores = [f"s{k}" for k in range(kinds)]
+
+    def discounted(count: np.ndarray, total: int, distinct: int, below: np.ndarray) -> np.ndarray:
+        """Logarithm of the discounted share of ``count``, and the rest of ``total`` times ``below``."""
+        if not total:
+            return below
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(np.maximum(count - discount, 0) / total), math.log(discount * distinct / total) + below)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            count = rows["n"].to_numpy(np.float64)
-            below = np.where(rows["word"] == END, -np.inf, backoff + lattice.log_probability([SPACE + w for w in rows["word"]]))
-            with np.errstate(divide="ignore"):
-                seen = np.log(np.maximum(count - discount, 0) / n) if n else np.where(rows["word"] == END, math.log(0.5), -np.inf)
-            yield rows.assign(base=np.log10((count + 1) / (n + v + 1)), score=np.logaddexp(seen, below) / math.log(10))
-
-    weighed = materialise(counts.mapInPandas(weigh, "word string, n long, n_all long, base double, score double"))
-    frequent = weighed.filter((F.col("n_all") * FREQUENT > n_all) | (F.col("word") == END)).toPandas()
-    known = {w.encode("utf-8"): (1 if c else 0, b, s) for w, c, b, s in
-             frequent[["word", "n", "base", "score"]].itertuples(index=False)}       # fewer than FREQUENT words
-    table = docs.sparkSession.sparkContext.broadcast(known)
+            end = (rows["word"] == END).to_numpy()
+            spelled = log_probabilities(lattices, [SPACE + w for w in rows["word"]])
+            spelled = np.where(end, -np.inf if n else math.log(0.5), spelled if n else spelled + math.log(0.5))
+            common = [discounted(rows["n"].to_numpy(), n, v, x) for x in spelled]
+            yield pd.DataFrame({"word": rows["word"], "n": rows["n"], "n_all": rows["n_all"],
+                                **{s: (discounted(rows[c].to_numpy(), by_kind[2 * k], by_kind[2 * k + 1], common[k]) / math.log(10)).astype(np.float32)
+                                   for k, (s, c) in enumerate(zip(scores, each))}})
+
+    weighed = materialise(counts.mapInPandas(weigh, "word string, n long, n_all long, " + ", ".join(f"{s} float" for s in scores)))
+    frequent = weighed.filter((F.col("n_all") * FREQUENT > n_all) | (F.col("word") == END)).toPandas()     # fewer than FREQUENT words
+    total = n + v + 1
+    look = {w.encode("utf-8"): i for i, w in enumerate(frequent["word"])}
+    facts = np.column_stack([frequent["n"] > 0, np.log10((frequent["n"] + 1) / total), frequent[scores]]).astype(np.float64)
+    shared = docs.sparkSession.sparkContext.broadcast((look, facts))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, with the sums over frequent words, and one for each of its other words."""
-        look = table.value
+        look, facts = shared.value
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -234,36 +282,42 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, path: str = MO
                 for row, t in zip(ids, part["t"].to_pylist()):
                     found = Counter(tokens(t))
                     found[b""] = 1
-                    base = total = known_here = 0.0
-                    before = len(words)
+                    before, which, times = len(words), [], []
                     for w, c in found.items():
-                        if hit := look.get(w):
-                            known_here, base, total = known_here + c * hit[0], base + c * hit[1], total + c * hit[2]
-                        else:
+                        i = look.get(w)
+                        if i is None:
                             words.append(w)
                             uses.append(c)
+                        else:
+                            which.append(i)
+                            times.append(c)
                     owner += [row] * (len(words) - before)
-                    sums.append((found.total(), int(known_here), base, total))
-                n_tokens, n_known, base, total = map(list, zip(*sums))
-                yield _batch(ids, [f"\t{row}" for row in ids], [1] * len(ids), part["key"], part["held"], n_tokens, n_known, base, total)
+                    sums.append((found.total(), *(np.array(times) @ facts[which]).tolist()))
+                yield _batch(ids, [f"\t{row}" for row in ids], [1] * len(ids), part["key"], part["held"], list(zip(*sums)))
                 if words:
-                    none = [None] * len(words)
                     yield _batch(owner, [w.decode("utf-8", "replace") for w in words], uses,
-                                 pa.nulls(len(words), part["key"].type), none, none, none, none, none)
+                                 pa.nulls(len(words), part["key"].type), [None] * len(words), [[None] * len(words)] * (3 + kinds))
+
+    def _batch(row, word, uses, key, held, sums) -> pa.RecordBatch:
+        """One text or one word of a text a row; a text's own ``word`` starts with a tab, which no word holds."""
+        columns = [pa.array(c, pa.int64() if i == 0 else pa.float64()) for i, c in enumerate(sums)]
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.string()), pa.array(uses, pa.int64()), key,
+                                           pa.array(held, pa.bool_()), *columns],
+                                          ["row", "word", "uses", "key", "held", "n_tokens", "n_known", "base", *[f"t{k}" for k in range(kinds)]])
 
-    kind = docs.schema[key].dataType.simpleString()
     wide = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("t"),
                        held_out.alias("held"))
-    rows = wide.mapInArrow(spread, f"row long, word string, uses long, key {kind}, held boolean, n_tokens long, "
-                                   "n_known long, base double, score double")
-    rows = rows.withColumn("text", F.col("n_tokens").isNotNull())
-    rare = weighed.select("word", F.col("n").alias("c"), F.col("base").alias("b"), F.col("score").alias("s"))
-    joined = rows.join(rare.hint("shuffle_hash"), "word", "left")
-    uses = F.col("uses")
-    return joined.groupBy("row").agg(
-        F.max(F.when(F.col("text"), F.struct("key", "held", "n_tokens"))).alias("t"),
-        F.sum(F.when(F.col("text"), F.col("n_known")).otherwise(F.when(F.col("c") > 0, uses).otherwise(0))).alias("n_known"),
-        F.sum(F.when(F.col("text"), F.col("base")).otherwise(uses * F.col("b"))).alias("base_score"),
-        F.sum(F.when(F.col("text"), F.col("score")).otherwise(uses * F.col("s"))).alias("score"),
-    ).select("row", F.col("t.key").alias("key"), F.col("t.held").alias("held_out"), "t.n_tokens", "n_known",
-             F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = wide.mapInArrow(spread, f"row long, word string, uses long, key {docs.schema[key].dataType.simpleString()}, held boolean, "
+                                   "n_tokens long, n_known double, base double, " + ", ".join(f"t{k} double" for k in range(kinds)))
+    joined = rows.join(weighed.drop("n_all").hint("shuffle_hash"), "word", "left")
+    text_row, uses = F.col("n_tokens").isNotNull(), F.col("uses")
+    either = lambda own, other: F.sum(F.when(text_row, own).otherwise(uses * other))
+    summed = joined.groupBy("row").agg(
+        F.max(F.when(text_row, F.struct("key", "held", "n_tokens"))).alias("t"),
+        either(F.col("n_known"), F.when(F.col("n") > 0, 1).otherwise(0)).cast("long").alias("n_known"),
+        either(F.col("base"), F.log10((F.col("n") + 1) / F.lit(float(total)))).alias("base_score"),
+        *[(either(F.col(f"t{k}"), F.col(s).cast("double")) + prior[k]).alias(s) for k, s in enumerate(scores)])
+    best = F.greatest(*scores) if kinds > 1 else F.col(scores[0])
+    mixed = best + F.log10(sum((F.pow(F.lit(10.0), F.col(s) - best) for s in scores[1:]), F.pow(F.lit(10.0), F.col(scores[0]) - best)))
+    return summed.select("row", F.col("t.key").alias("key"), F.col("t.held").alias("held_out"), "t.n_tokens", "n_known",
+                         F.lit(n).cast("long").alias("train_tokens"), "base_score", mixed.alias("score"))

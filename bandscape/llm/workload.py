@@ -27,8 +27,8 @@ def _remainder(modulus: int) -> Column:
 
 @query
 def op1_lattice(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lattice.score(docs, "doc_id", "text", _remainder(7)).withColumnRenamed("key", "doc_id").drop("row")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return lattice.score(docs, "doc_id", "text", _remainder(7), F.col("lang")).withColumnRenamed("key", "doc_id").drop("row")
 
 
 @query

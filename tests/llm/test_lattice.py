@@ -73,8 +73,9 @@ def test_documents(spark):
     rows = [(i, " ".join(rng.choice(vocabulary, 30))) for i in range(60)]
     rows += [(60, None), (61, ""), (62, "NEW new\tNew"), (62, "NEW new\tNew"), (None, "the the"), (63, "the of 　"),
              (64, "word " * 3000)]
-    docs = spark.createDataFrame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, n long, word string")
-    got = L.score(docs, "doc_id", "text", is_held()).collect()
+    docs = spark.createDataFrame([(d, t, [None, "x", "y"][i % 3], "c") for i, (d, t) in enumerate(rows)],
+                                 "doc_id long, text string, n string, word string")
+    got = L.score(docs, "doc_id", "text", is_held(), F.col("n")).collect()
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
     counts = Counter()
     for (_, t), h in zip(rows, held):
@@ -97,8 +98,16 @@ def test_probabilities_sum_to_less_than_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a", "b a", "ab a", "b"] * 3)], "doc_id long, text string")
     probe = [(100, ""), *[(101 + i, t) for i, t in enumerate(["a", "b", "ab", "c", "a b", "a a", "b a", "b b", "ab ab"])]]
     every = docs.unionByName(spark.createDataFrame(probe, "doc_id long, text string"))
-    got = L.score(every, "doc_id", "text", F.col("doc_id") >= 100).filter("held_out").collect()
-    assert 0.2 < sum(10 ** r.score for r in got) < 1
+    for label in (None, (F.col("doc_id") % 2).cast("string")):
+        got = L.score(every, "doc_id", "text", F.col("doc_id") >= 100, label).filter("held_out").collect()
+        assert 0.2 < sum(10 ** r.score for r in got) < 1
+
+
+def test_held_out_texts_are_likelier_than_under_the_base(spark):
+    from bandscape.llm.workload import QUERIES
+    got = QUERIES["op1_lattice"](spark, "/root/testdata/sf0.1").toPandas()         # enough text for the words to recur
+    held = got[got.held_out]
+    assert len(got) == 10_000 and held.score.sum() > held.base_score.sum()
 
 
 @pytest.mark.parametrize("held", [True, False])
