@@ -35,7 +35,7 @@ MARGIN = 2.0                # ... a limit, which is then widened by this factor
 FLOOR = 8.0                 # least limit, in standard deviations
 LEAST_DEVIATION = 0.25      # of a character, in nats
 ALPHABET = 65_536           # characters of the uniform distribution below the unigrams
-CHARS = 1 << 21             # characters in hand at once
+CHARS = 1 << 19             # characters in hand at once
 UNKNOWN = "und"
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")

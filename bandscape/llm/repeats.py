@@ -30,8 +30,8 @@ from .common import fresh
 
 SPAN = 200
 GRAM = 80
-CHUNK = 1 << 20             # bytes of a text in hand at once
-BATCH = 1 << 21             # bytes sorted at once
+CHUNK = 1 << 18             # bytes of a text in hand at once
+BATCH = 1 << 19             # bytes sorted at once
 CROWDED = 2000
 SENT = 2_000_000            # rows of two or three numbers that are broadcast
 BASE = 0x9E3779B97F4A7C15
