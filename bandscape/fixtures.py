@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
@@ -69,13 +69,14 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour pixels on the mosaic grid: three neighbouring values of a vector."""
+    """Colour pixels on the mosaic grid: three neighbouring values of a vector, the
+    last ones going on at its start, so that all 64 take part."""
     return (load(spark, sf_dir, "embeddings")
             .select(F.lit(0).cast("bigint").alias("scene_id"), F.col("vec_id").cast("int").alias("y"),
                     F.array_min("embedding").cast("double").alias("_lo"),
                     F.array_max("embedding").cast("double").alias("_hi"), "embedding",
-                    F.explode(F.sequence(F.lit(0), F.lit(20))).alias("x"))
-            .select(*PIXEL, *[S.round_u8(S.stretch(F.col("embedding")[F.col("x") * 3 + i].cast("double"),
+                    F.explode(F.sequence(F.lit(0), F.lit(21))).alias("x"))
+            .select(*PIXEL, *[S.round_u8(S.stretch(F.col("embedding")[(F.col("x") * 3 + i) % 64].cast("double"),
                                                    F.col("_lo"), F.col("_hi"))).alias(c)
                               for i, c in enumerate("rgb")]))
 
@@ -96,9 +97,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One segment per order line; a scene is an order."""
+    """One segment per order line; a scene is an order, of which line numbers may repeat."""
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "l_tax")
     return load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").cast("bigint").alias("seg_id"),
+        F.col("l_orderkey").alias("scene_id"), F.row_number().over(lines).cast("bigint").alias("seg_id"),
         F.col("l_quantity").alias("x0"), (F.col("l_discount") * 100.0).alias("y0"),
         (F.col("l_extendedprice") / 1000.0).alias("x1"), (F.col("l_tax") * 100.0).alias("y1"))
 

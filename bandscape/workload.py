@@ -89,18 +89,23 @@ def channel_split(spark, sf):
                                           F.col("g").alias("c1"), F.col("r").alias("c2")))
 
 
-def _band2_lines(spark, sf):
-    return matrices.matrix_lines(B.vis_band(fx.raster8(spark, sf)))
+def _band_images(spark, sf):
+    """Every band image as a scene of its own."""
+    return fx.raster8(spark, sf).select((F.col("scene_id") * 8 + F.col("band") - 1).alias("scene_id"), "y", "x", "value")
+
+
+def _matrix_lines(spark, sf):
+    return matrices.matrix_lines(_band_images(spark, sf))
 
 
 @query
 def matrix_text_write(spark, sf):
-    return _band2_lines(spark, sf)
+    return _matrix_lines(spark, sf)
 
 
 @query
 def matrix_text_read(spark, sf):
-    texts = (_band2_lines(spark, sf).groupBy(F.col("scene_id").cast("string").alias("path"))
+    texts = (_matrix_lines(spark, sf).groupBy(F.col("scene_id").cast("string").alias("path"))
              .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
              .select("path", F.array_join("_l.line", "\n").alias("value")))
     return matrices.parse_matrix_text(texts).withColumn("value", F.col("value").cast("double"))
@@ -155,7 +160,7 @@ def mask_invert(spark, sf):
 
 @query
 def mask_binarise(spark, sf):
-    return B.binarise(B.vis_band(fx.raster8(spark, sf)), "value")
+    return B.binarise(fx.raster8(spark, sf), "value")
 
 
 @query
@@ -285,7 +290,7 @@ def band_histogram(spark, sf):
 
 @query
 def otsu_threshold(spark, sf):
-    return ST.otsu(ST.histogram(B.vis_band(fx.raster8(spark, sf))))
+    return ST.otsu(ST.histogram(_band_images(spark, sf)))
 
 
 @query

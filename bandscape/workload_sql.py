@@ -45,6 +45,7 @@ INPUTS["raster"] = f"""
                CAST(list_max(embedding) AS DOUBLE) AS hi
         FROM embeddings, (SELECT CAST(range AS INTEGER) AS i FROM range(1, 65)))"""
 
+INPUTS["band_images"] = "SELECT scene_id * 8 + band - 1 AS scene_id, y, x, value FROM raster"
 INPUTS["signal_all"] = ("SELECT scene_id, y, x, " + ", ".join(
     f"max(value) FILTER (WHERE band = {k}) AS b{k}" for k in range(1, 9)) + " FROM raster GROUP BY scene_id, y, x")
 INPUTS["signal"] = "SELECT * FROM signal_all WHERE " + " AND ".join(f"{b} IS NOT NULL" for b in B8)
@@ -86,9 +87,9 @@ INPUTS["ink"] = "SELECT scene_id, y, x FROM mosaic_mask WHERE label > 0"
 INPUTS["bright"] = """
   SELECT scene_id, y, x, CAST(CASE WHEN value >= 70 THEN 255 ELSE 0 END AS SMALLINT) AS label FROM mosaic"""
 INPUTS["colours"] = ("SELECT CAST(0 AS BIGINT) AS scene_id, CAST(vec_id AS INTEGER) AS y, CAST(j AS INTEGER) AS x, "
-    + ", ".join(u8(stretch(f"CAST(embedding[j * 3 + {i + 1}] AS DOUBLE)", "CAST(list_min(embedding) AS DOUBLE)",
+    + ", ".join(u8(stretch(f"CAST(embedding[(j * 3 + {i}) % 64 + 1] AS DOUBLE)", "CAST(list_min(embedding) AS DOUBLE)",
                            "CAST(list_max(embedding) AS DOUBLE)")) + f" AS {c}" for i, c in enumerate("rgb"))
-    + " FROM embeddings, (SELECT CAST(range AS INTEGER) AS j FROM range(0, 21))")
+    + " FROM embeddings, (SELECT CAST(range AS INTEGER) AS j FROM range(0, 22))")
 INPUTS["spectra"] = """
   SELECT l_returnflag AS scene_id, l_quantity AS b1, l_extendedprice / 1000.0 AS b2, l_discount AS b3, l_tax AS b4,
          CASE WHEN l_quantity >= 40 THEN 255 ELSE 0 END AS label FROM lineitem"""
@@ -128,7 +129,8 @@ def validation(limit: int | None = None) -> str:
 
 INPUTS["validated"] = validation()
 INPUTS["segments"] = """
-  SELECT l_orderkey AS scene_id, CAST(l_linenumber AS BIGINT) AS seg_id, l_quantity AS x0, l_discount * 100.0 AS y0,
+  SELECT l_orderkey AS scene_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount,
+         l_extendedprice, l_tax) AS seg_id, l_quantity AS x0, l_discount * 100.0 AS y0,
          l_extendedprice / 1000.0 AS x1, l_tax * 100.0 AS y1 FROM lineitem"""
 INPUTS["ordered"] = """
   SELECT scene_id, seg_id, CASE WHEN x0 < x1 THEN x0 ELSE x1 END AS x0, CASE WHEN x0 < x1 THEN y0 ELSE y1 END AS y0,
@@ -459,10 +461,10 @@ SELECT scene_id, CAST(1 AS INTEGER) AS band, y, x, b AS value FROM colours
 UNION ALL SELECT scene_id, 2, y, x, g FROM colours UNION ALL SELECT scene_id, 3, y, x, r FROM colours"""),
     "matrix_text_write": sql("""
 SELECT scene_id, CAST(y + 2 AS BIGINT) AS line_no, string_agg(CAST(value AS VARCHAR), ', ' ORDER BY x) || ', ' AS line
-FROM raster WHERE band = 2 GROUP BY scene_id, y
-UNION ALL SELECT scene_id, k, '8' FROM (SELECT DISTINCT scene_id FROM raster WHERE band = 2), (VALUES (0), (1)) h(k)"""),
+FROM band_images GROUP BY scene_id, y
+UNION ALL SELECT scene_id, k, '8' FROM (SELECT DISTINCT scene_id FROM band_images), (VALUES (0), (1)) h(k)"""),
     "matrix_text_read": sql("""
-SELECT CAST(scene_id AS VARCHAR) AS path, y, x, CAST(value AS DOUBLE) AS value FROM raster WHERE band = 2"""),
+SELECT CAST(scene_id AS VARCHAR) AS path, y, x, CAST(value AS DOUBLE) AS value FROM band_images"""),
     "mask_sink": sql("SELECT scene_id, y, x, CAST(255 - label AS SMALLINT) AS label FROM labelled"),
     "rotate_quarter": sql("""
 SELECT scene_id, CAST((SELECT max(x) FROM mosaic) - x AS INTEGER) AS y, y AS x, value FROM mosaic"""),
@@ -486,7 +488,7 @@ FROM signal_all JOIN (
          count(b8) AS n8, count(b2) AS n2 FROM signal_all GROUP BY scene_id) USING (scene_id)"""),
     "mask_invert": sql("SELECT scene_id, y, x, CAST(255 - label AS SMALLINT) AS label FROM labelled"),
     "mask_binarise": sql("""
-SELECT scene_id, band, y, x, CAST(CASE WHEN value > 0 THEN 255 ELSE 0 END AS SMALLINT) AS value FROM raster WHERE band = 2"""),
+SELECT scene_id, band, y, x, CAST(CASE WHEN value > 0 THEN 255 ELSE 0 END AS SMALLINT) AS value FROM raster"""),
     "unit_scaling": sql(f"SELECT scene_id, band, y, x, {r('value / CAST(255 AS DOUBLE)')} AS value FROM raster"),
     "foreground_rows": sql("SELECT scene_id, y, x, " + ", ".join(B8) + " FROM labelled WHERE label > 0"),
     "spectral_mean_std": sql("SELECT f.scene_id, y, x, " + ", ".join(
@@ -543,7 +545,7 @@ FROM colours"""),
         for i in range(1, 9) for j in range(i, 9))),
     "band_histogram": sql("SELECT * FROM hist", histogram("mosaic", "value", "hist")),
     "otsu_threshold": sql("SELECT * FROM cut", {
-        "vis": "SELECT * FROM raster WHERE band = 2", **histogram("vis", "value", "hist"), **otsu("hist", "cut")}),
+        **histogram("band_images", "value", "hist"), **otsu("hist", "cut")}),
     "array_profile": sql("""
 SELECT scene_id, band, max(y) + 1 AS rows, max(x) + 1 AS cols, min(value) AS lo, max(value) AS hi FROM raster GROUP BY ALL"""),
     "blob_areas": sql("SELECT * FROM areas", BLOBS),

@@ -173,5 +173,5 @@ def test_every_scene_is_refined_as_if_alone(spark):
     both = tables[0].unionByName(tables[1]).unionByName(tables[2])
     together = SG.refine(both, kmeans_rounds=2)
     for k, alone in enumerate(tables):
-        assert (image(SG.refine(alone, kmeans_rounds=2), "label") == image(together, "label", k)).all()
+        assert (image(SG.refine(alone, kmeans_rounds=2), "label", k) == image(together, "label", k)).all()
     assert together.select("settled").distinct().count() == 1
