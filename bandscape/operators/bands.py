@@ -42,7 +42,15 @@ def minmax_columns(df: DataFrame, keys: list[str], columns: dict[str, Column],
 
 
 def normalise_bands(pixels: DataFrame, deep: bool = False) -> DataFrame:
-    """Loader normalisation: 8-bit bands are stretched, deep ones are rescaled."""
+    """Loader normalisation: 8-bit bands are stretched, deep ones are rescaled.
+
+    A column ``depth`` (bits per sample) decides image by image; without it ``deep``
+    holds for all.
+    """
+    if "depth" in pixels.columns:
+        flat = minmax(pixels, out="_flat")
+        value = F.when(F.col("depth") > 8, S.rescale_10bit(F.col("value"))).otherwise(F.col("_flat"))
+        return flat.withColumn("value", value.cast("smallint")).drop("_flat", "depth")
     return rescale_depth(pixels) if deep else minmax(pixels)
 
 

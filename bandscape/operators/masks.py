@@ -181,18 +181,21 @@ def balanced_sample(table: DataFrame, n: int = 1000, rows: int = 1024, columns:
     starts = blocks.select(*block, (F.sum("_c").over(above) - F.col("_c")).alias("_before"))
     earlier = Window.partitionBy(*block).orderBy("y", "_xb")                    # strips of one block
     offsets = (strips.withColumn("_within", F.sum("_c").over(earlier) - F.col("_c"))
-               .join(starts, block).select(*strip, (F.col("_before") + F.col("_within")).alias("_start")))
+               .join(starts, block).select(*strip, "_c", (F.col("_before") + F.col("_within")).alias("_start")))
     sizes = (blocks.groupBy("scene_id")
              .agg(F.sum(F.when(F.col("label") == 255, F.col("_c"))).alias("_pos"),
                   F.sum(F.when(F.col("label") == 0, F.col("_c"))).alias("_neg"))
              .filter("_pos > 0 AND _neg > 0")
              .select("scene_id", "_pos", "_neg", F.least(F.lit(n).cast("bigint"), "_pos", "_neg").alias("_take")))
+    # Only strips that hold a wanted position are ranked: at most 2 n a scene.
+    total = F.when(F.col("label") == 255, F.col("_pos")).otherwise(F.col("_neg"))
+    next_i = F.expr("(_start * _take + _total - 1) DIV _total")
+    wanted = (attach(offsets, sizes, ["scene_id"], "inner").withColumn("_total", total).withColumn("_next", next_i)
+              .filter("_next < _take AND (_next * _total) DIV _take < _start + _c")
+              .select(*strip, "_start", "_take", "_total"))
     inside = Window.partitionBy(*strip).orderBy("x")
-    placed = (attach(labelled, sizes, ["scene_id"], "inner")
-              .withColumn("_rank", F.row_number().over(inside) - F.lit(1))
-              .join(offsets, strip)
-              .withColumn("_p", F.col("_start") + F.col("_rank"))
-              .withColumn("_total", F.when(F.col("label") == 255, F.col("_pos")).otherwise(F.col("_neg"))))
+    placed = (attach(labelled, wanted, strip, "inner")
+              .withColumn("_p", F.col("_start") + F.row_number().over(inside) - F.lit(1)))
     # Position p is taken if it is floor(i * total / take) for a whole i below take.
     i = F.expr("(_p * _take + _total - 1) DIV _total")
     taken = placed.withColumn("_i", i).filter("_i < _take AND (_i * _total) DIV _take = _p")

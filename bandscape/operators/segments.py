@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import attach
+
 # Slope of a vertical segment: the largest 32-bit float (fixed value).
 VERTICAL = 3.4028234663852886e38
 
@@ -100,7 +102,7 @@ def segment_axis_hits(segments: DataFrame, axes: DataFrame) -> DataFrame:
     """Where segments meet the line x = c or y = c of their scene
     (``axes``: scene_id, axis, c); parallel ones have no point."""
     seg = ordered(segments).select("scene_id", "seg_id", *_ENDS)
-    both = seg.join(axes.select("scene_id", "axis", "c"), "scene_id")
+    both = attach(seg, axes.select("scene_id", "axis", "c"), ["scene_id"], "inner")
     sx, sy, c = F.col("x0"), F.col("y0"), F.col("c")
     gx, gy = F.col("x1") - sx, F.col("y1") - sy
     upright = F.col("axis") == "x"

@@ -75,7 +75,7 @@ def ace_map(pixels: DataFrame, mask: DataFrame, deep: bool = False, turns: int =
     scenes without a mask are skipped."""
     present = attach(pixels, mask.select("scene_id").distinct(), ["scene_id"], "inner")
     normalised = B.normalise_bands(present, deep)
-    counts = materialise(normalised.groupBy("scene_id").agg(F.max("band").alias("_bands")))
+    counts = materialise(present.groupBy("scene_id").agg(F.max("band").alias("_bands")))
     # One plan per distinct number of bands: a handful of values.
     widths = sorted(r[0] for r in counts.select("_bands").distinct().collect())
     parts = []

@@ -135,6 +135,14 @@ def rescale_depth(spark, sf):
     return B.rescale_depth(deep, "sample", "value")
 
 
+@query
+def normalise_mixed_depth(spark, sf):
+    deep = F.col("band") % 2 == 0
+    pixels = fx.raster8(spark, sf).withColumns({
+        "depth": F.when(deep, 16).otherwise(8), "value": F.when(deep, F.col("value") * 5 + F.col("band")).otherwise(F.col("value"))})
+    return B.normalise_bands(pixels)
+
+
 @query
 def band_minmax(spark, sf):
     halved = fx.raster8(spark, sf).withColumn("value", F.expr("value DIV 2 + 7").cast("int"))

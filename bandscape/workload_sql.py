@@ -473,6 +473,11 @@ SELECT scene_id, CAST((SELECT max(x) FROM mosaic) - x AS INTEGER) AS y, y AS x,
     "rescale_depth": f"""
 SELECT l_orderkey, l_linenumber, sample, {u8('sample * CAST(255 AS DOUBLE) / CAST(1024 AS DOUBLE)')} AS value
 FROM (SELECT *, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 2048 AS INTEGER) AS sample FROM lineitem)""",
+    "normalise_mixed_depth": sql(f"""
+SELECT scene_id, band, y, x,
+       CASE WHEN band % 2 = 0 THEN {u8('(value * 5 + band) * CAST(255 AS DOUBLE) / CAST(1024 AS DOUBLE)')}
+            ELSE {u8(stretch('value', 'lo', 'hi'))} END AS value
+FROM (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM raster WINDOW w AS (PARTITION BY scene_id, band))"""),
     "band_minmax": sql(f"""
 SELECT scene_id, band, y, x, {u8(stretch('v', 'lo', 'hi'))} AS value FROM halved JOIN (
   SELECT scene_id, band, min(v) AS lo, max(v) AS hi FROM halved GROUP BY ALL) USING (scene_id, band)""",
