@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tiles as tl
 from ..functions.joins import attach
@@ -180,7 +181,7 @@ def gmm_segment(table: DataFrame, kmeans_rounds: int = 10) -> DataFrame:
     return gmm_round(table, start_components(counts, kmeans_rounds), counts)[0]
 
 
-def _sweep(part: pd.DataFrame, sweeps: int) -> pd.DataFrame:
+def _sweep(part: pd.DataFrame, sweeps: int, bits: int) -> pd.DataFrame:
     """Coordinate descent on one tile.  Pixels whose row and column have equal
     parity are no neighbours of each other, so each of the four parity classes
     is updated at once without raising the energy."""
@@ -211,36 +212,46 @@ def _sweep(part: pd.DataFrame, sweeps: int) -> pd.DataFrame:
         weights.append(np.nan_to_num(GAMMA * np.exp(-beta * gap) / np.hypot(*step)))
     rows, cols = np.indices((shape[0] - 2, shape[1] - 2))
     parity = ((rows + top + 1) % 2) * 2 + (cols + left + 1) % 2
+    # Pixels of the rim may go wrong at its edge, so only the tile's own ones tell whether it rests.
+    own = grid((y >> bits == part["_ty"].to_numpy()) & (x >> bits == part["_tx"].to_numpy()), 0.0) > 0
+    busy = True
     for _ in range(sweeps):
+        before = spin.copy()
         for turn in range(4):
             # Cost of foreground minus cost of background at each pixel.
             pull = gain[inner] - sum(w * moved(spin, step) for w, step in zip(weights, steps))
             change = free[inner] & (parity == turn) & (pull != 0)
             spin[inner] = np.where(change, np.where(pull < 0, 1.0, -1.0), spin[inner])
-    return part.assign(label=np.where(spin[iy, ix] > 0, 255, 0).astype(np.int16))
+        moved_now = spin != before
+        busy = bool(moved_now[own].any())
+        if not moved_now.any():
+            break
+    return part.assign(label=np.where(spin[iy, ix] > 0, 255, 0).astype(np.int16), _busy=busy)
 
 
-def smooth_labels(costs: DataFrame, beta: DataFrame, sweeps: int = 3, bits: int = 8) -> DataFrame:
+def smooth_labels(costs: DataFrame, beta: DataFrame, sweeps: int = 8, bits: int = 8) -> DataFrame:
     """Lower the Potts energy of the labels until it rests: unary costs plus
     contrast-dependent weights between differing 8-neighbours.
 
     A sweep carries influence at most four pixels far, so tiles with a rim of
     ``4 · sweeps`` pixels give exactly the result of sweeping whole images.
-    Passes of ``sweeps`` sweeps go on while any label of a scene changes; scenes
-    at rest take no further part.  The energy never rises, so all of them rest.
+    Passes of up to ``sweeps`` sweeps go on while a tile of a scene was still
+    changing in the last one; scenes at rest take no further part.  The energy
+    falls with every change, so all of them rest.
     This finds a local minimum of the energy, not the global one of a graph cut.
     """
     active, resting = attach(costs, beta, ["scene_id"]), []
     while True:
-        tiled = tl.halo_tiles(active.withColumn("_before", F.col("label")), 4 * sweeps, bits)
-        swept = tiled.groupBy(*tl.TILE).applyInPandas(lambda part: _sweep(part, sweeps), tiled.schema)
+        tiled = tl.halo_tiles(active, 4 * sweeps, bits)
+        schema = T.StructType([*tiled.schema.fields, T.StructField("_busy", T.BooleanType())])
+        swept = tiled.groupBy(*tl.TILE).applyInPandas(lambda part: _sweep(part, sweeps, bits), schema)
         swept = materialise(tl.own_pixels(swept, bits))
-        moved = materialise(swept.filter("label <> _before").select("scene_id").distinct())
-        swept = swept.drop("_before")
-        if moved.isEmpty():
+        busy = materialise(swept.filter("_busy").select("scene_id").distinct())
+        swept = swept.drop("_busy")
+        if busy.isEmpty():
             return reduce(DataFrame.unionByName, [*resting, swept]).drop("beta")
-        resting.append(attach(swept, moved, ["scene_id"], "left_anti"))
-        active = attach(swept, moved, ["scene_id"], "left_semi")
+        resting.append(attach(swept, busy, ["scene_id"], "left_anti"))
+        active = attach(swept, busy, ["scene_id"], "left_semi")
 
 
 def potts_energy(labelled: DataFrame, beta: DataFrame) -> DataFrame:
@@ -311,7 +322,7 @@ def _segment(table: DataFrame, components: DataFrame, beta: DataFrame, sweeps: i
 
 
 def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, erosions: int = 100,
-           sweeps: int = 3, kmeans_rounds: int = 10, preset="score") -> DataFrame:
+           sweeps: int = 8, kmeans_rounds: int = 10, preset="score") -> DataFrame:
     """Segment, then refine until no pixel violates the stroke criterion.
 
     ``table``: scene_id, y, x, c0, c1, c2, score, base (the mask).  A scene leaves
