@@ -4,7 +4,9 @@ A text gets the sequence of pieces with the largest sum of the vocabulary's
 scores.  No piece holds a space mark but at its start, so marked words are encoded
 one by one, each distinct one once: the distinct words of a batch are sorted,
 which is the depth-first order of their trie, and the best scores of the prefix
-that a word shares with the one before it are kept and not computed again.
+that a word shares with the one before it are kept and not computed again.  White
+space that stands in no piece of more than one character is cut off too; that in
+longer pieces, like the carriage return of ``;\\r``, stays in its word.
 
 The normalisation is that of the model: spaces become marks, one mark is put in
 front, nothing else changes.  A character that no piece covers becomes its UTF-8
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,16 +27,22 @@ from pyspark.sql import functions as F
 
 from .pieces import MODEL, SPACE, Vocabulary, load
 
-# A marked word, a run of other characters, or a single white-space character.
-UNIT = re.compile(rf"{SPACE}+[^{SPACE}\s]*|[^{SPACE}\s]+|\s")
 CACHE = 300_000             # words whose ids a task keeps
 SLICE = 1 << 20             # characters in hand at once
 ROWS = 500                  # texts per result batch
 NONE = object()
 
 
+def units(pieces: Iterable[str]) -> re.Pattern[str]:
+    """A marked word, a run of other characters, or a white-space character that no longer piece holds."""
+    joined = {c for piece in pieces if len(piece) > 1 for c in piece}
+    alone = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in joined))
+    return re.compile(rf"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|(?s:.)")
+
+
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
+        self.units = units(vocabulary.pieces)
         # Every suffix of a piece, so that a search backwards knows where to end; None: no piece itself.
         self.suffixes: dict[str, tuple[float, int] | None] = {}
         for piece in vocabulary.pieces:
@@ -84,7 +93,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null or empty text has none."""
-        cut = [[UNIT.findall(part) for part in _slices(t)] if t else [] for t in texts]
+        cut = [[self.units.findall(part) for part in _slices(t)] if t else [] for t in texts]
         new = {w for parts in cut for part in parts for w in part}
         if len(self.cache) + len(new) > CACHE:
             self.cache = {w: self.cache[w] for w in new if w in self.cache}

@@ -60,6 +60,31 @@ def test_best_sum_equals_whole_text_search(codec):
             assert sum(score[i] for i in ids) == slow(text, vocabulary)
 
 
+@pytest.mark.parametrize("end", ["\r\n", "\r", "\r\r\n", " \r\n", "\r \r"])
+def test_carriage_returns_in_the_best_sum(codec, end):
+    vocabulary = load()
+    score = dict(zip(vocabulary.ids, vocabulary.scores))
+    lines = ["f(a);", "if (x) {", "  }", "The end.", "", "/**", "a, b,", "x\ty", "\r", " "]
+    text = end.join(lines) + end
+    ids = np.frombuffer(codec.encode([text])[0], "<i4").tolist()
+    newline = vocabulary.bytes_[10]
+    total, parts = sum(score.get(i, 0.0) for i in ids), (S.SPACE + text.replace(" ", S.SPACE)).replace("\t", "\n").split("\n")
+    assert total == sum(best_sum(p, vocabulary) for p in parts)
+    assert ids.count(newline) == text.count("\n") and codec.decode(codec.encode([text])[0]) == text
+
+
+def best_sum(marked, vocabulary):
+    score, best = dict(zip(vocabulary.pieces, vocabulary.scores)), [0.0]
+    for e in range(1, len(marked) + 1):
+        best.append(max(best[j] + score[marked[j:e]] for j in range(max(0, e - 16), e) if marked[j:e] in score))
+    return best[-1]
+
+
+def test_carriage_return_pieces_are_chosen(codec):
+    ids = np.frombuffer(codec.encode(["a;\r\nb"])[0], "<i4").tolist()
+    assert load().ids[load().pieces.index(";\r")] in ids
+
+
 def test_equals_library(codec, library):
     words = {w for (t,) in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet'").fetchall() for w in t.split()}
     known = {p for p in load().pieces if len(p) == 1}
