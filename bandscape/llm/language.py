@@ -135,9 +135,10 @@ def _fitted(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Model:
-    def __init__(self, tables: dict[str, list[bytes]], limits: dict[str, tuple[float, float, float]] | None = None):
-        """``limits``: for each language mean and deviation of a character's cross-entropy, and
-        the largest sum of deviations, in standard deviations, of a text that is kept."""
+    def __init__(self, tables: dict[str, list[bytes]], limits: dict[str, tuple[float, float, float, float]] | None = None):
+        """``limits``: for each language mean and deviation of a character's cross-entropy, the
+        largest sum of deviations, in standard deviations, of a text that is kept, and the
+        characters that a text counts for at most."""
         self.languages, self.limits = sorted(tables), limits or {}
         kinds = ("<u8", "<f8", "<u8", "<f8")
         self.orders = [[Order(*[np.frombuffer(b, k) for b, k in zip(tables[x][i:i + 4], kinds)])
@@ -186,9 +187,9 @@ class Model:
         best = sums.argmin(0)
         low = sums[best, np.arange(len(texts))]
         entropy = low / np.maximum(sizes, 1)
-        limits = np.array([self.limits.get(x, (0.0, 1.0, np.inf)) for x in self.languages] or [(0.0, 1.0, np.inf)])
-        mean, deviation, limit = limits[best].T
-        z = (entropy - mean) * np.sqrt(sizes) / deviation
+        limits = np.array([self.limits.get(x, (0.0, 1.0, np.inf, 1.0)) for x in self.languages] or [(0.0, 1.0, np.inf, 1.0)])
+        mean, deviation, limit, most = limits[best].T
+        z = (entropy - mean) * np.sqrt(sizes * most / (sizes + most)) / deviation
         names = np.array([*self.languages, UNKNOWN], object)
         return pd.DataFrame({"lang_pred": names[np.where(known, best, len(self.languages))],
                              "score": np.where(known, 1 / np.exp(low - sums).sum(0), 0.0), "n": sizes,
@@ -216,14 +217,19 @@ def train(docs: DataFrame, text: str, lang: str, row: Column, chars: int = FIT)
     return Model({r.lang: list(r.arrays) for r in tables}, _limits(model, picked.filter("held")))
 
 
-def _limits(model: Model, held: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """Calibration: how far texts of a language stray from its mean cross-entropy."""
+def _limits(model: Model, held: DataFrame) -> dict[str, tuple[float, float, float, float]]:
+    """Calibration: how far texts of a language stray from its mean cross-entropy.
+
+    A text of n characters is then judged as one of nm / (n + m), with m the mean
+    length of the calibration texts: variance between texts does not vanish with
+    length, so clean texts far longer than those stay.
+    """
     scored = materialise(predict(held.select("lang", "t"), model, ["lang"], "t").filter("lang = lang_pred"))
-    mean = scored.groupBy("lang").agg((F.sum(F.col("cross_entropy") * F.col("n")) / F.sum("n")).alias("mean"))
+    mean = scored.groupBy("lang").agg((F.sum(F.col("cross_entropy") * F.col("n")) / F.sum("n")).alias("mean"), F.avg("n").alias("most"))
     off = scored.join(F.broadcast(mean), "lang").withColumn("off", (F.col("cross_entropy") - F.col("mean")) * F.sqrt("n"))
     deviation = F.greatest(F.sqrt(F.avg(F.col("off") * F.col("off"))), F.lit(LEAST_DEVIATION))
-    off = off.groupBy("lang", "mean").agg(deviation.alias("deviation"), F.percentile("off", F.lit(OUTLIER)).alias("far"), F.count("*").alias("texts"))
-    return {r.lang: (r["mean"], r.deviation, max(FLOOR, MARGIN * r.far / r.deviation) if r.texts >= LEAST * (1 - SHARE) else np.inf)
+    off = off.groupBy("lang", "mean", "most").agg(deviation.alias("deviation"), F.percentile("off", F.lit(OUTLIER)).alias("far"), F.count("*").alias("texts"))
+    return {r.lang: (r["mean"], r.deviation, max(FLOOR, MARGIN * r.far / r.deviation) if r.texts >= LEAST * (1 - SHARE) else np.inf, r.most)
             for r in off.collect()}
 
 

@@ -93,3 +93,16 @@ def test_edge_cases(spark):
     assert not any(by[i].rejected for i in range(90))
     assert L.identify(docs.limit(0), F.lit(False)).count() == 0
     assert {r.lang_pred for r in L.identify(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
+
+
+def test_clean_long_texts_stay(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = L.train(docs.filter(~held), "text", "lang", F.col("doc_id"))
+    clean = [r.text for r in docs.filter(held & (F.col("lang") == "en") & (F.length("text") >= 400)).orderBy("doc_id").limit(40).collect()]
+    passages = [t[:400] + " " for t in clean]
+    assert len(passages) == 40 and not model.predict(passages).rejected.any()
+    for passage in passages:
+        assert not model.predict([passage * 2500]).rejected.any(), passage
+    noise = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz "), 1_000_000))
+    assert model.predict([noise, noise[:1000], "漢字かな" * 250_000]).rejected.all()
