@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import components as components
+from ..functions.joins import attach
 from ..functions.runtime import materialise
 
 SENT = 2_000_000            # row numbers sent to every executor at once
@@ -41,3 +42,22 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone: ``lower`` would also change other alphabets."""
     return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
             .otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())))
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str, total: str) -> DataFrame:
+    """``df`` written in order, with each row's place from 0 within ``keys`` and the rows of its key.
+
+    One shuffle by ranges of keys and order, so the rows of a hot key span many
+    parts; a place is the row's place in its part plus the rows of earlier parts.
+    ``keys`` must not be null and ``order`` must tell rows apart where a tie could
+    be large.  ``df`` is read twice, so it should be a written table.
+    """
+    placed = (df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+              .withColumn("_at", F.monotonically_increasing_id()))       # part and place in it
+    placed = materialise(placed).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)                                    # a row for each part
+    before = F.sum("_n").over(whole.orderBy("_part")) - F.col("_n")
+    starts = sizes.select(*keys, "_part", (before - F.col("_first")).alias("_start"), F.sum("_n").over(whole).alias(total))
+    return (attach(placed, starts, [*keys, "_part"]).withColumn(out, F.col("_at") + F.col("_start"))
+            .drop("_at", "_part", "_start"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, lattice, licenses, repeats, sentencepiece_codec, sharding, simhash, topk, warc
+from . import (centroids, contamination, language, lattice, licenses, merkle, packing, repeats, sentencepiece_codec, sharding,
+               simhash, topk, warc)
 from .common import numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +86,24 @@ def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query
+def op11_merkle(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(merkle.document_leaves(docs, even), "doc_id")
+
+
+@query
+def op12_packing(spark, sf):
+    cut = packing.pieces(table(spark, sf, "documents").select("doc_id", "text"))
+    placed = packing.sequences(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "place")
+
+
+@query
+def op13_centroids(spark, sf):
+    vectors = centroids.whole_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    order = F.sha2(F.concat(F.lit("3:"), F.col("key").cast("string")), 256)
+    return centroids.cluster(vectors, order).withColumnRenamed("key", "vec_id")

@@ -73,3 +73,74 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
 FROM g"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+# The checksum's steps as a list: a byte to be mixed in, then eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+
+def _sides(level: str, at: str, step: str) -> str:
+    """What stands left, and right, of the node on the path in its run of three."""
+    run, place = f"({at} // ({step} * 3)) * 3", f"{at} // {step}"
+    return (f"array_to_string({level}[{run} + 1:{place}], '') AS l, "
+            f"array_to_string({level}[{place} + 2:{run} + 3], '') AS r")
+
+
+_ABOVE = "list_transform(range(0, (len(d) + 2) // 3), lambda i: sha256(array_to_string(d[3 * i + 1:3 * i + 3], '')))"
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, source, {_leaf('text')} AS leaf,
+                    CASE WHEN {_CRC32} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS claimed
+             FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+                               row_number() OVER () AS rid FROM doc),
+up AS (SELECT source, CAST(0 AS BIGINT) AS h, CAST(1 AS BIGINT) AS step, list(leaf ORDER BY p) AS d FROM placed GROUP BY source
+       UNION ALL SELECT source, h + 1, step * 3, {_ABOVE} FROM up WHERE len(d) > 1),
+subroots AS MATERIALIZED (SELECT source, h, d[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS q
+                          FROM up WHERE len(d) = 1),
+high AS (SELECT CAST(0 AS BIGINT) AS h, CAST(1 AS BIGINT) AS step, list(subroot ORDER BY q) AS d FROM subroots
+         UNION ALL SELECT h + 1, step * 3, {_ABOVE} FROM high WHERE len(d) > 1),
+path AS (SELECT rid, up.h, {_sides('d', 'p', 'step')} FROM placed JOIN up ON up.source IS NOT DISTINCT FROM placed.source WHERE len(d) > 1
+         UNION ALL SELECT rid, 1000 + high.h, {_sides('d', 'q', 'step')} FROM placed
+         JOIN subroots ON subroots.source IS NOT DISTINCT FROM placed.source, high WHERE len(d) > 1),
+steps AS (SELECT rid, string_agg(l || r, '' ORDER BY h) AS proof, list(l || '|' || r ORDER BY h) AS sides FROM path GROUP BY rid),
+whole AS (SELECT d[1] AS root FROM high WHERE len(d) = 1),
+folded AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+                  list_reduce(list_concat([claimed], coalesce(sides, [])),
+                      lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+           FROM placed JOIN subroots ON subroots.source IS NOT DISTINCT FROM placed.source LEFT JOIN steps USING (rid), whole)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 131072)) = 0)""",
+             f"""m0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v
+    FROM v) WHERE c < {k})"""]
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - m.v[i]) * (v.v[i] - m.v[i])))"
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, min_by(c, (d, c)) AS c, min(d) AS d FROM
+    (SELECT rid, c, CAST({gap} AS BIGINT) AS d FROM v, m{r} AS m) GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""m{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, m.v) AS v FROM m{r} AS m LEFT JOIN
+    (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM
+     (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM
+      (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v JOIN a{r} USING (rid)) GROUP BY c, i) GROUP BY c) AS n USING (c))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN m{rounds} AS m USING (c)"""
+
+
+ORACLES["op13_centroids"] = _cluster_sql()
