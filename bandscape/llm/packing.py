@@ -9,8 +9,6 @@ from one bucket.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.runtime import materialise
 from .common import positions
+from .word_ids import Encoder
 
 LIMIT = 2048                # longest sequence, a power of two
 END = 1                     # id after each document
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
-_SLICE = 1 << 20            # characters of a text that are cut into words at once
-_CACHED = 400_000           # words whose ids a worker keeps
-_LONG = 64                  # words above this length are not kept
 _PIECES = 1 << 22           # bytes of ids handed on at once
 
 
@@ -37,74 +33,6 @@ def cut(n: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (n // limit) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space.
-
-    Blanks, tabs and line ends end a word for it, so the ids of a text are those of its
-    words, which are encoded once and kept.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids = np.zeros(1 << 16, "<u4")
-        self.ends = np.zeros(1 << 14, np.int64)             # word i has ids[ends[i]:ends[i + 1]]
-
-    def _learn(self, words: list[str]) -> None:
-        for start in range(0, len(words), 4096):
-            for word, found in zip(words[start:start + 4096],
-                                   self.tokenizer.encode_batch(words[start:start + 4096], add_special_tokens=False)):
-                n, ids = len(self.known), found.ids
-                begin = self.ends[n]
-                end = begin + len(ids)
-                if end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")])
-                if n + 1 >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-                self.ids[begin:end] = ids
-                self.ends[n + 1] = end
-                self.known[word] = n
-
-    def _words(self, words: list[str]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > _CACHED:
-            self._clear()
-            new = [w for w in set(words) if w]
-        self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(lengths)
-        return self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Ids of ``text`` as unsigned 32-bit numbers."""
-        parts = []
-        for piece in _slices(text):
-            words, done = piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), 0
-            for i in [i for i, word in enumerate(words) if len(word) > _LONG]:
-                parts += [self._words(words[done:i]),
-                          np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, "<u4")]
-                done = i + 1
-            parts.append(self._words(words[done:]))
-        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
-
-
-def _slices(text: str) -> Iterator[str]:
-    """Slices of about a million characters that end with words."""
-    at = 0
-    while at < len(text):
-        end = at + _SLICE
-        found = re.compile("[ \t\r\n]").search(text, end) if end < len(text) else None
-        end = found.start() if found else len(text)
-        yield text[at:end]
-        at = end
-
-
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, limit: int = LIMIT,
            end: int = END) -> DataFrame:
     """(key, row, start, length, ids, doc_tokens): the pieces of every document.
@@ -124,8 +52,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         encoder = Encoder(path)
         for batch in batches:
             source, starts, bodies, totals, held = [], [], [], [], 0
-            for i, body in enumerate(batch["text"]):
-                ids = np.append(encoder(body.as_py() or ""), np.uint32(end)).astype("<u4")
+            for i, found in enumerate(encoder.encode(body.as_py() or "" for body in batch["text"])):
+                ids = np.append(found, np.uint32(end)).astype("<u4")
                 at = 0
                 for n in cut(len(ids), limit):
                     source.append(i)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from hypothesis import given, settings
@@ -8,11 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bandscape.llm import packing
+from bandscape.llm import packing, word_ids
 from bandscape.llm.workload import QUERIES
 
 LIBRARY = Tokenizer.from_file(packing.TOKENIZER)
-ENCODER = packing.Encoder(packing.TOKENIZER)
+ENCODER = word_ids.Encoder(packing.TOKENIZER)
 
 
 def ids(text):
@@ -36,9 +37,37 @@ def test_any_text(text):
 
 def test_long_texts(monkeypatch):
     text = " ".join(f"Wort{i} is{'x' * (i % 90)}" for i in range(3000)) + "y" * 5000
-    monkeypatch.setattr(packing, "_SLICE", 1000)
-    monkeypatch.setattr(packing, "_CACHED", 50)
-    assert packing.Encoder(packing.TOKENIZER)(text).tolist() == ids(text)
+    monkeypatch.setattr(word_ids, "_SLICE", 1000)
+    monkeypatch.setattr(word_ids, "_KEPT", 50)
+    assert word_ids.Encoder(packing.TOKENIZER)(text).tolist() == ids(text)
+
+
+def test_whole_corpus():
+    """Every text of the documents, as the library encodes it."""
+    texts = [text or "" for text in pd.read_parquet(f"{DATA}/../sf0.01/documents.parquet")["text"]]
+    got = list(word_ids.Encoder(packing.TOKENIZER).encode(texts))
+    assert len(got) == len(texts)
+    for text, found in zip(texts, got):
+        assert found.tolist() == ids(text)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(st.sampled_from("abcdeilnorstuüßé'09.,-A!"), min_size=1, max_size=40), min_size=1, max_size=30))
+def test_merged_words(words):
+    assert [i for found in ENCODER.encode(words) for i in found] == ids(" ".join(words))
+
+
+def test_runs_of_equal_letters():
+    for letter in "aeso!0é":
+        for n in range(1, 64):
+            assert ENCODER(letter * n).tolist() == ids(letter * n)
+
+
+def test_another_kind_of_file():
+    other = packing.TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    text = "Two  words\n and\ttabs <|endoftext|>"
+    want = Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+    assert word_ids.Encoder(other)(text).tolist() == want
 
 
 @given(st.integers(1, 100_000))
