@@ -19,13 +19,12 @@ from ..functions.joins import attach
 from ..functions.runtime import materialise
 from ..schema import PIXEL
 from .bands import trimap_label
+from .cut import COLOURS, GAMMA, cut_labels
 from .masks import contrast_scale, neighbor_pairs
 from .neighborhood import erosion_depth
 
-COLOURS = ["c0", "c1", "c2"]
 COMPONENTS = 5
-# Weight of the smoothness term, and noise added to a singular covariance (fixed values).
-GAMMA = 50.0
+# Noise added to a singular covariance (fixed value).
 NOISE = 0.01
 # Determinant of a singular covariance relative to the product of its variances (fixed value).
 SINGULAR = 1e-9
@@ -238,7 +237,7 @@ def smooth_labels(costs: DataFrame, beta: DataFrame, sweeps: int = 8, bits: int
     Passes of up to ``sweeps`` sweeps go on while a tile of a scene was still
     changing in the last one; scenes at rest take no further part.  The energy
     falls with every change, so all of them rest.
-    This finds a local minimum of the energy, not the global one of a graph cut.
+    This finds a local minimum of the energy; :func:`bandscape.operators.cut.cut_labels` finds the least one.
     """
     active, resting = attach(costs, beta, ["scene_id"]), []
     while True:
@@ -312,17 +311,17 @@ def _marked(deep: DataFrame, ends: DataFrame, base="base") -> DataFrame:
         "violation", (F.col("depth") > F.col("erosions")) & (F.col(base) == 0))
 
 
-def _segment(table: DataFrame, components: DataFrame, beta: DataFrame, sweeps: int,
+def _segment(table: DataFrame, components: DataFrame, beta: DataFrame,
              counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     costs, learned = gmm_round(table.drop("label"), components, counts)
-    smoothed = smooth_labels(costs, beta, sweeps).drop("bg_cost", "fg_cost")
+    smoothed = cut_labels(costs, beta).drop("bg_cost", "fg_cost")
     settled = F.when(F.col("trimap").isin("FGD", "BGD"), F.col("trimap")).when(
         F.col("label") > 0, "PR_FGD").otherwise("PR_BGD")
     return materialise(smoothed.withColumn("trimap", settled)), learned
 
 
 def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, erosions: int = 100,
-           sweeps: int = 8, kmeans_rounds: int = 10, preset="score") -> DataFrame:
+           kmeans_rounds: int = 10, preset="score") -> DataFrame:
     """Segment, then refine until no pixel violates the stroke criterion.
 
     ``table``: scene_id, y, x, c0, c1, c2, score, base (the mask).  A scene leaves
@@ -335,7 +334,7 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
     table = materialise(table.select(*columns).withColumn("trimap", guide))
     beta = materialise(contrast_scale(table))
     counts = materialise(colour_counts(table))
-    active, components = _segment(table, start_components(counts, kmeans_rounds), beta, sweeps, counts)
+    active, components = _segment(table, start_components(counts, kmeans_rounds), beta, counts)
     finished, late = [], None
     for _ in range(rounds):
         deep = materialise(erosion_depth(active, erosions + 1))
@@ -347,7 +346,7 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
         again = (marked.filter("violations > 0")
                  .withColumn("score", F.when(F.col("violation"), 0.0).otherwise(F.col("score")))
                  .withColumn("trimap", guide).select(*active.columns))
-        active, learned = _segment(again, components, beta, sweeps)
+        active, learned = _segment(again, components, beta)
         # Scenes outside of this round keep their last model.
         left = attach(components, learned.select("scene_id").distinct(), ["scene_id"], "left_anti")
         components = materialise(left.unionByName(learned))
@@ -356,7 +355,7 @@ def refine(table: DataFrame, limit: float = OVERLAP_LIMIT, rounds: int = 100, er
         rounds = None
     for part in finished:
         active = active.unionByName(part)
-    labelled = _segment(active, components, beta, sweeps)[0].select(*columns, "trimap", "label")
+    labelled = _segment(active, components, beta)[0].select(*columns, "trimap", "label")
     if rounds is not None or late is None:
         return labelled.withColumn("settled", F.lit(True))
     return attach(labelled, late.withColumn("settled", F.lit(False)), ["scene_id"]).withColumn(

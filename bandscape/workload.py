@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .operators import bands as B
+from .operators import cut as CUT
 from .operators import blobs as BL
 from .operators import masks as M
 from .operators import neighborhood as N
@@ -564,7 +565,7 @@ def gmm_segment(spark, sf):
 @query
 def smooth_labels(spark, sf):
     table = fx.features8(spark, sf)
-    return SG.smooth_labels(SG.gmm_segment(table), M.contrast_scale(table)).select(*PIXEL, "label")
+    return CUT.cut_labels(SG.gmm_segment(table), M.contrast_scale(table)).select(*PIXEL, "label")
 
 
 @query
