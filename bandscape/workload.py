@@ -11,6 +11,7 @@ from . import fixtures as fx
 from .operators import bands as B
 from .operators import cut as CUT
 from .operators import blobs as BL
+from .operators import forest as FO
 from .operators import masks as M
 from .operators import neighborhood as N
 from .operators import score as SC
@@ -543,6 +544,32 @@ def forest_score(spark, sf):
     return SC.forest_score(fx.labelled8(spark, sf))
 
 
+def _colour_signal(spark, sf):
+    """The colour mosaic as three bands; foreground where the first two are bright together."""
+    c = fx.colours(spark, sf)
+    bright = F.col("r").cast("int") + F.col("g") >= 280
+    return c.select(*PIXEL, F.col("r").alias("b1"), F.col("g").alias("b2"), F.col("b").alias("b3"),
+                    F.when(bright, 255).otherwise(0).cast("smallint").alias("label"))
+
+
+@query
+def forest_counts(spark, sf):
+    """Weighted class counts of all trees' roots, over all pixels."""
+    return FO.value_counts(FO.bootstrap(_colour_signal(spark, sf), 3, 7)).drop("node")
+
+
+@query
+def forest_splits(spark, sf):
+    """The first split of every tree, over all pixels."""
+    splits = FO.best_splits(FO.value_counts(FO.bootstrap(_colour_signal(spark, sf), 10, 7)))
+    return splits.select("scene_id", "tree", "n", "hits", "band", "value")
+
+
+@query
+def scene_forests(spark, sf):
+    return _rounded(FO.scene_forests(_colour_signal(spark, sf)), "probability")
+
+
 @query
 def gmm_components(spark, sf):
     start = SG.start_components(SG.colour_counts(fx.features8(spark, sf)), 0)

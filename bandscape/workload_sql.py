@@ -724,3 +724,37 @@ SELECT coalesce(p.scene_id, q.scene_id) AS scene_id, count(*) FILTER (WHERE p.x
        {r(f'sum(CAST(p.{c} AS DOUBLE) - CAST(q.{c} AS DOUBLE))', 4)} AS difference
 FROM one p FULL JOIN two q ON p.scene_id = q.scene_id AND p.y = q.y AND p.x = q.x GROUP BY 1""" for c in _IMAGES),
     {**_page("one", "r", "b", "g"), **_page("two", "b", "r", "b")})
+
+# Shares of rows that a tree sees up to 0, 1, ... times, written out again.
+_SHARES = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917]
+
+
+def _forest(trees: int, seed: int = 7) -> dict[str, str]:
+    drawn = " + ".join(f"CAST(u >= {int(s * 2 ** 32)} AS INTEGER)" for s in _SHARES)
+    return {
+        "painted": """SELECT scene_id, y, x, r AS b1, g AS b2, b AS b3, CASE WHEN CAST(r AS INTEGER) + g >= 280 THEN 255 ELSE 0 END AS label
+  FROM colours""",
+        "hashed": f"""SELECT *, CAST('0x' || substr(md5(concat_ws('|', scene_id, y, x, tree, {seed})), 1, 8) AS BIGINT) AS u
+  FROM painted, (SELECT CAST(range AS INTEGER) AS tree FROM range(1, {trees + 1}))""",
+        "drawn": f"SELECT *, {drawn} AS w FROM hashed",
+        "tall": " UNION ALL ".join(f"SELECT scene_id, tree, {k} AS band, CAST(b{k} AS DOUBLE) AS value, w, label FROM drawn WHERE w > 0"
+                                   for k in (1, 2, 3)),
+        "tallied": """SELECT scene_id, tree, CAST(band AS INTEGER) AS band, value, CAST(sum(w) AS BIGINT) AS n,
+         CAST(coalesce(sum(w) FILTER (WHERE label = 255), 0) AS BIGINT) AS hits FROM tall GROUP BY ALL"""}
+
+
+ORACLES["forest_counts"] = sql("SELECT * FROM tallied", _forest(3))
+
+_pure = "(CAST({1} AS DOUBLE) * {1} + CAST({0} - {1} AS DOUBLE) * ({0} - {1})) / {0}"
+ORACLES["forest_splits"] = sql(f"""
+SELECT scene_id, tree, any_value(total) AS n, any_value(total_hits) AS hits,
+       arg_min(band, (-gain, band, value)) FILTER (WHERE gain > 1e-9) AS band,
+       arg_min(value, (-gain, band, value)) FILTER (WHERE gain > 1e-9) AS value
+FROM weighed GROUP BY scene_id, tree""", {**_forest(10),
+    "summed": """
+  SELECT a.scene_id, a.tree, a.band, a.value, CAST(sum(b.n) AS BIGINT) AS total, CAST(sum(b.hits) AS BIGINT) AS total_hits,
+         CAST(sum(b.n) FILTER (WHERE b.value <= a.value) AS BIGINT) AS l, CAST(sum(b.hits) FILTER (WHERE b.value <= a.value) AS BIGINT) AS h
+  FROM tallied a JOIN tallied b USING (scene_id, tree, band) GROUP BY ALL""",
+    "weighed": f"""
+  SELECT *, CASE WHEN l >= 50 AND total - l >= 50 THEN round({_pure.format('l', 'h')} + {_pure.format('(total - l)', '(total_hits - h)')}
+         - {_pure.format('total', 'total_hits')}, 9) END AS gain FROM summed"""})
