@@ -19,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ FLOOR = 8.0                 # least limit, in standard deviations
 LEAST_DEVIATION = 0.25      # of a character, in nats
 ALPHABET = 65_536           # characters of the uniform distribution below the unigrams
 CHARS = 1 << 19             # characters in hand at once
+PORTION = 2 << 20          # bytes of text predicted at once
 UNKNOWN = "und"
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -233,6 +235,17 @@ def _limits(model: Model, held: DataFrame) -> dict[str, tuple[float, float, floa
             for r in off.collect()}
 
 
+def _portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``PORTION`` bytes of text; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + PORTION, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, lang_pred, score, n, cross_entropy, rejected for every row.
 
@@ -241,16 +254,21 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFr
     predicted language under equal priors.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)    # size bounded by the fitted characters
+    # The text is sent once, also where it is kept.
+    at = keep.index(text) if text in keep else len(keep)
+    sent = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict(batch["_t"].to_pylist())
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
-            added = [pa.array(found[c].to_numpy(), k, from_pandas=True) for c, k in zip(found.columns, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*batch.schema.names[:-1], *found.columns])
+            for part in _portions(batch, at):
+                found = shared.value.predict(part.column(at).to_pylist())
+                kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
+                added = [pa.array(found[c].to_numpy(), k, from_pandas=True) for c, k in zip(found.columns, kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *added],
+                                                 [*part.schema.names[:len(keep)], *found.columns])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("_t")).mapInArrow(
+    return sent.mapInArrow(
         work, f"{kinds}, lang_pred string, score double, n long, cross_entropy double, rejected boolean")
 
 
