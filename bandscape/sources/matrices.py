@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import attach
+from ..functions.runtime import is_written, materialise
+
 
 def parse_matrix_text(files: DataFrame) -> DataFrame:
     """``(path, value)`` whole files to ``(path, y, x, value)``; a file with too
@@ -25,10 +28,42 @@ def parse_matrix_text(files: DataFrame) -> DataFrame:
             .filter("x < _cols").select("path", "y", "x", number.alias("value")))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line_no, line)`` of text files, lines from 0.
+
+    Files are read in byte ranges, so a file may be larger than any task; a line's
+    number is its place in its range plus the lines of earlier ranges.
+    """
+    lines = materialise(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at")))
+    ranges = lines.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("path").orderBy("_block")                  # one row per range
+    starts = ranges.select("path", "_block", (F.sum("_n").over(earlier) - F.col("_n") - F.col("_first")).alias("_start"))
+    return attach(lines, starts, ["path", "_block"]).select("path", (F.col("_at") + F.col("_start")).alias("line_no"), "line")
+
+
+def parse_matrix_lines(lines: DataFrame) -> DataFrame:
+    """``(path, line_no, line)`` to ``(path, y, x, value)``; a file with too few lines or cells gives no rows."""
+    lines = lines if is_written(lines) else materialise(lines)             # read for sizes, completeness and cells
+    number = F.expr("coalesce(try_cast(trim(line) AS int), 0)")
+    heads = lines.filter("line_no < 2").groupBy("path").agg(
+        *[F.coalesce(F.max(F.when(F.col("line_no") == i, number)), F.lit(0)).alias(c) for i, c in enumerate(("_rows", "_cols"))])
+    body = (attach(lines.filter("line_no >= 2"), heads, ["path"], "inner")
+            .withColumn("y", (F.col("line_no") - 2).cast("int")).filter("y < _rows")
+            .withColumn("_cells", F.split("line", ",")))
+    # A separator at the end of a line does not open another cell.
+    whole = F.expr("size(_cells) - if(element_at(_cells, -1) = '', 1, 0) >= _cols")
+    complete = (body.groupBy("path").agg(F.count("*").alias("_n"), F.max("_rows").alias("_rows"), F.bool_and(whole).alias("_whole"))
+                .filter("_n = _rows AND _whole").select("path"))
+    return (attach(body, complete, ["path"], "left_semi")
+            .select("path", "_cols", "y", F.posexplode("_cells").alias("x", "cell")).filter("x < _cols")
+            .select("path", "y", "x", F.expr("coalesce(try_cast(trim(cell) AS float), 0.0F)").alias("value")))
+
+
 def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value")
-    return parse_matrix_text(files)
+    """Matrices of all text files below ``path``, one a file, as ``(path, y, x, value)``."""
+    return parse_matrix_lines(numbered_lines(spark, path))
 
 
 def matrix_lines(df: DataFrame, value: str = "value") -> DataFrame:

@@ -107,10 +107,8 @@ def matrix_text_write(spark, sf):
 
 @query
 def matrix_text_read(spark, sf):
-    texts = (_matrix_lines(spark, sf).groupBy(F.col("scene_id").cast("string").alias("path"))
-             .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-             .select("path", F.array_join("_l.line", "\n").alias("value")))
-    return matrices.parse_matrix_text(texts).withColumn("value", F.col("value").cast("double"))
+    lines = _matrix_lines(spark, sf).select(F.col("scene_id").cast("string").alias("path"), "line_no", "line")
+    return matrices.parse_matrix_lines(lines).withColumn("value", F.col("value").cast("double"))
 
 
 @query

@@ -127,6 +127,28 @@ def test_matrix_text_rejects_short_files(spark):
         ("ok", 0, 0): 1.0, ("ok", 0, 1): 2.5, ("ok", 1, 0): 3.0, ("ok", 1, 1): 0.0}
 
 
+def test_matrix_text_in_many_ranges(spark, tmp_path):
+    """Files of many byte ranges, complete and incomplete ones, equal the same files read whole."""
+    rng = np.random.default_rng(4)
+    for name, (h, w), ending, cut in [("a", (90, 7), "\n", 0), ("b", (40, 60), "\r\n", 0), ("c", (1, 1), "\n", 0),
+                                      ("d", (30, 5), "\n", 1), ("e", (0, 4), "\n", 0)]:
+        lines = [str(h + cut), str(w), *[", ".join(map(str, row)) + ", " for row in rng.integers(0, 999, (h, w))]]
+        (tmp_path / f"{name}.txt").write_bytes((ending.join(lines) + ending).encode())
+    (tmp_path / "short.txt").write_bytes(b"2\n3\n1, 2, 3\n4, 5\n")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    want = sorted(map(tuple, matrices.parse_matrix_text(whole).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        lines = matrices.numbered_lines(spark, str(tmp_path))
+        got = sorted(map(tuple, matrices.parse_matrix_lines(lines).collect()))
+        blocks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        assert sorted(r.line_no for r in lines.filter("path LIKE '%a.txt'").collect()) == list(range(92))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and len(got) == 90 * 7 + 40 * 60 + 1 and blocks > 20
+
+
 def test_mask_sink_is_inverted_and_partitioned(spark, tmp_path):
     mask = np.where(GREY > 100, 255, 0)
     sinks.write_mask(table(spark, {0: mask, 1: mask}, "label"), str(tmp_path / "out"))
