@@ -28,19 +28,23 @@ def parse_matrix_text(files: DataFrame) -> DataFrame:
             .filter("x < _cols").select("path", "y", "x", number.alias("value")))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """``(path, line_no, line)`` of text files, lines from 0.
 
     Files are read in byte ranges, so a file may be larger than any task; a line's
-    number is its place in its range plus the lines of earlier ranges.
+    number is its place in its range plus the lines of earlier ranges.  With
+    ``folders`` the files of a folder, by name, are parts of one text.
     """
+    file = F.col("_metadata.file_path")
     lines = materialise(spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-        F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at")))
-    ranges = lines.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy("path").orderBy("_block")                  # one row per range
-    starts = ranges.select("path", "_block", (F.sum("_n").over(earlier) - F.col("_n") - F.col("_first")).alias("_start"))
-    return attach(lines, starts, ["path", "_block"]).select("path", (F.col("_at") + F.col("_start")).alias("line_no"), "line")
+        (F.regexp_replace(file, "/[^/]*$", "") if folders else file).alias("path"), file.alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"),
+        F.monotonically_increasing_id().alias("_at")))
+    part = ["path", "_file", "_block"]
+    ranges = lines.groupBy(*part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("path").orderBy("_file", "_block")         # one row per range
+    starts = ranges.select(*part, (F.sum("_n").over(earlier) - F.col("_n") - F.col("_first")).alias("_start"))
+    return attach(lines, starts, part).select("path", (F.col("_at") + F.col("_start")).alias("line_no"), "line")
 
 
 def parse_matrix_lines(lines: DataFrame) -> DataFrame:
@@ -61,9 +65,10 @@ def parse_matrix_lines(lines: DataFrame) -> DataFrame:
             .select("path", "y", "x", F.expr("coalesce(try_cast(trim(cell) AS float), 0.0F)").alias("value")))
 
 
-def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
-    """Matrices of all text files below ``path``, one a file, as ``(path, y, x, value)``."""
-    return parse_matrix_lines(numbered_lines(spark, path))
+def read_matrix_text(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Matrices of all text files below ``path``, one a file (or one a folder, in
+    parts as :func:`write_matrix_text` leaves them), as ``(path, y, x, value)``."""
+    return parse_matrix_lines(numbered_lines(spark, path, folders))
 
 
 def matrix_lines(df: DataFrame, value: str = "value") -> DataFrame:
@@ -83,10 +88,12 @@ def matrix_lines(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def write_matrix_text(df: DataFrame, path: str, value: str = "value") -> None:
-    """One matrix file per scene below ``path/scene_id=…``.
+    """One matrix per scene, in the folder ``path/scene_id=…``.
 
-    The format is one ordered file per matrix, so one task streams it; the rows
-    were assembled in parallel before.
+    Lines are dealt by ranges of scene and line, so a large scene is written by
+    many tasks; its part files in order of their names, one after another, are the
+    matrix.  A small scene has a single file.
     """
-    (matrix_lines(df, value).repartition("scene_id").sortWithinPartitions("scene_id", "line_no")
+    lines = materialise(matrix_lines(df, value))            # dealing by ranges reads them twice
+    (lines.repartitionByRange("scene_id", "line_no").sortWithinPartitions("scene_id", "line_no")
      .select("scene_id", "line").write.mode("overwrite").partitionBy("scene_id").text(path))

@@ -127,6 +127,24 @@ def test_matrix_text_rejects_short_files(spark):
         ("ok", 0, 0): 1.0, ("ok", 0, 1): 2.5, ("ok", 1, 0): 3.0, ("ok", 1, 1): 0.0}
 
 
+def test_matrix_text_of_a_scene_in_parts(spark, tmp_path):
+    path, rng = str(tmp_path / "m"), np.random.default_rng(6)
+    images = {1: rng.integers(0, 255, (150, 9)), 2: rng.integers(0, 255, (3, 4))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        matrices.write_matrix_text(table(spark, images, "value"), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "m" / "scene_id=1").glob("part-*.txt"))
+    assert len(parts) > 3
+    text = "".join(p.read_text() for p in parts)
+    assert text == "150\n9\n" + "".join(", ".join(map(str, row)) + ", \n" for row in images[1])
+    got = matrices.read_matrix_text(spark, path + "/*", folders=True).withColumn(
+        "scene_id", F.regexp_extract("path", "scene_id=([0-9]+)", 1).cast("bigint"))
+    for scene, grid in images.items():
+        assert (image(got, "value", scene) == grid).all()
+
+
 def test_matrix_text_in_many_ranges(spark, tmp_path):
     """Files of many byte ranges, complete and incomplete ones, equal the same files read whole."""
     rng = np.random.default_rng(4)
