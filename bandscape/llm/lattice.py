@@ -32,25 +32,54 @@ from .pieces import MODEL, SPACE, load
 ROUNDS = 2                  # passes that re-estimate the scores
 CLASSES = 8                 # labels told apart, the commonest ones
 FREQUENT = 100_000          # words above 1/FREQUENT of all tokens are looked up without a shuffle: fewer than that
-CHUNK = 20_000              # words of one length in hand at once
+CHUNK = 400_000             # characters of words of about one length in hand at once
 PRIOR = 0.01                # added to each piece's expected count
 END = ""                    # the end of a text, counted as a token; no word is empty
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+CODE = 21                   # bits of a character
+PAD = (1 << CODE) - 1       # no character has this number
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattice:
-    """Pieces in sorted arrays of hashes, one for each length."""
+    """Pieces in a trie, whose edges (node, character) are a table of hash slots."""
 
     def __init__(self, pieces: list[str], log_p: np.ndarray, byte: float, stop: float):
         """``byte`` and ``stop``: log probabilities of one byte and of a word's end."""
         self._score(log_p, byte, stop)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lengths = np.array([len(p) for p in pieces])
-        for n in np.unique(lengths).tolist():
-            which = np.flatnonzero(lengths == n)
-            hashes = _prefix_hashes(_codes([pieces[i] for i in which], n))[:, -1]
-            order = np.argsort(hashes)
-            self.tables[n] = hashes[order], which[order]
+        edges: dict[int, int] = {}                              # key of an edge -> its node
+        ends: dict[int, int] = {}                               # node -> the piece that ends there
+        for i, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                node = edges.setdefault(node << CODE | ord(c), len(edges) + 1)
+            ends[node] = i
+        self.shift = np.uint64(64 - (2 * len(edges) + 2).bit_length())
+        self.keys = np.full(1 << 64 - int(self.shift), -1)
+        self.nodes = np.zeros(len(self.keys), np.int64)
+        for key, node in edges.items():
+            slot = int(self._slots(np.array([key]))[0])
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % len(self.keys)
+            self.keys[slot], self.nodes[slot] = key, node
+        self.piece = np.full(len(edges) + 1, -1)
+        self.piece[list(ends)] = list(ends.values())
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * MIX) >> self.shift).astype(np.int64)
+
+    def _children(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes at the ends of edges, 0 where there is no such edge."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        found = np.where(there == keys, self.nodes[slots], 0)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):                                       # the slot is another edge's: try the next one
+            slots[open_] = (slots[open_] + 1) % len(self.keys)
+            there = self.keys[slots[open_]]
+            same = there == keys[open_]
+            found[open_[same]] = self.nodes[slots[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return found
 
     def _score(self, log_p: np.ndarray, byte: float, stop: float) -> None:
         self.log_p, self.byte, self.stop = log_p, byte, stop
@@ -64,19 +93,20 @@ class Lattice:
 
     def _arcs(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end the arcs into it: (start, rows, pieces)."""
-        hashes, width = _prefix_hashes(codes), codes.shape[1]
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(width, BASE)]))
-        arcs = []
-        for end in range(1, width + 1):
-            into = []
-            for n, (table, which) in self.tables.items():
-                if n <= end:
-                    own = hashes[:, end] - hashes[:, end - n] * powers[n]
-                    at = np.minimum(np.searchsorted(table, own), len(table) - 1)
-                    rows = np.flatnonzero(table[at] == own)
-                    if len(rows):
-                        into.append((end - n, rows, which[at[rows]]))
-            arcs.append(into)
+        columns = np.ascontiguousarray(codes.T)
+        arcs = [[] for _ in columns]
+        for start in range(len(columns)):
+            rows, nodes = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+            for at in range(start, len(columns)):
+                nodes = self._children(nodes << CODE | columns[at, rows])
+                alive = nodes > 0
+                rows, nodes = rows[alive], nodes[alive]
+                if not len(rows):
+                    break
+                piece = self.piece[nodes]
+                whole = piece >= 0
+                if whole.any():
+                    arcs[at].append((start, rows[whole], piece[whole]))
         return arcs
 
     def _forward(self, codes: np.ndarray, arcs: list, spelled: np.ndarray) -> np.ndarray:
@@ -100,14 +130,18 @@ class Lattice:
             alpha = self._forward(codes, arcs, spelled)
             beta = np.full(alpha.shape, -np.inf)
             beta[-1] = 0
+            used, uses = [], []
             for end in range(codes.shape[1], 0, -1):
                 share = np.exp(alpha[end - 1] + spelled[end - 1] + beta[end] - alpha[-1])
                 single += float((share * weight * size[end - 1]).sum())
                 beta[end - 1] = np.logaddexp(beta[end - 1], spelled[end - 1] + beta[end])
                 for start, rows, piece in arcs[end - 1]:
                     through = self.log_p[piece] + beta[end, rows]
-                    pieces += np.bincount(piece, np.exp(alpha[start, rows] + through - alpha[-1, rows]) * weight[rows], len(pieces))
+                    used.append(piece)
+                    uses.append(np.exp(alpha[start, rows] + through - alpha[-1, rows]) * weight[rows])
                     beta[start, rows] = np.logaddexp(beta[start, rows], through)
+            if used:
+                pieces += np.bincount(np.concatenate(used), np.concatenate(uses), len(pieces))
         return pieces, single
 
 
@@ -122,30 +156,25 @@ def log_probabilities(lattices: list[Lattice], words: list[str]) -> np.ndarray:
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    lengths = np.array([len(w) for w in words])
+    """Words of about the same length together, all ending in the last column; what is
+    before a shorter word is ``PAD``, which is in no piece and has no bytes."""
+    lengths = np.array([len(w) for w in words], np.int64)
     order = np.argsort(lengths, kind="stable")
-    edges = np.flatnonzero(np.diff(lengths[order])) + 1
-    for same in np.split(order, edges):
-        for at in range(0, len(same), CHUNK):
-            which = same[at:at + CHUNK]
-            if len(which):
-                yield which, _codes([words[i] for i in which], int(lengths[which[0]]))
-
-
-def _codes(words: list[str], width: int) -> np.ndarray:
-    text = "".join(words).encode("utf-32-le", "surrogatepass")
-    return np.frombuffer(text, "<u4").reshape(len(words), width)
-
-
-def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-    for i in range(codes.shape[1]):
-        out[:, i + 1] = out[:, i] * BASE + (codes[:, i].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
-    return out
+    sizes = lengths[order]
+    at = 0
+    while at < len(order):
+        end = int(np.searchsorted(sizes, sizes[at] * 5 // 4 + 3, side="right"))
+        end = min(end, at + max(1, CHUNK // max(1, int(sizes[end - 1]))))
+        which, width = order[at:end], int(sizes[end - 1])
+        text = "".join([words[i].rjust(width, chr(0)) for i in which]).encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(text, "<u4").reshape(len(which), width).astype(np.int64)
+        codes[np.arange(width) < (width - sizes[at:end])[:, None]] = PAD
+        yield which, codes
+        at = end
 
 
 def _utf8(codes: np.ndarray) -> np.ndarray:
-    return 1.0 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return 1.0 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000) - 4.0 * (codes == PAD)
 
 
 # --- corpus -------------------------------------------------------------------
@@ -211,7 +240,8 @@ def train(counts: DataFrame, kinds: int = 1, path: str = MODEL, rounds: int = RO
                 for k, c in enumerate(each):
                     own = [SPACE + w for w in rows["word"][rows[c] > 0]]
                     some, single = lattices[k].expected(own, np.ones(len(own)))
-                    totals[k] += [*some, single, len(own)]
+                    totals[k, :-2] += some
+                    totals[k, -2:] += single, len(own)
             kind, piece = np.nonzero(totals)
             yield pd.DataFrame({"kind": kind, "piece": piece, "uses": totals[kind, piece]})
 
@@ -261,10 +291,10 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, label: Column
             spelled = np.where(end, -np.inf if n else math.log(0.5), spelled if n else spelled + math.log(0.5))
             common = [discounted(rows["n"].to_numpy(), n, v, x) for x in spelled]
             yield pd.DataFrame({"word": rows["word"], "n": rows["n"], "n_all": rows["n_all"],
-                                **{s: (discounted(rows[c].to_numpy(), by_kind[2 * k], by_kind[2 * k + 1], common[k]) / math.log(10)).astype(np.float32)
+                                **{s: (discounted(rows[c].to_numpy(), by_kind[2 * k], by_kind[2 * k + 1], common[k]) / math.log(10))
                                    for k, (s, c) in enumerate(zip(scores, each))}})
 
-    weighed = materialise(counts.mapInPandas(weigh, "word string, n long, n_all long, " + ", ".join(f"{s} float" for s in scores)))
+    weighed = materialise(counts.mapInPandas(weigh, "word string, n long, n_all long, " + ", ".join(f"{s} double" for s in scores)))
     frequent = weighed.filter((F.col("n_all") * FREQUENT > n_all) | (F.col("word") == END)).toPandas()     # fewer than FREQUENT words
     total = n + v + 1
     look = {w.encode("utf-8"): i for i, w in enumerate(frequent["word"])}
@@ -316,7 +346,7 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column, label: Column
         F.max(F.when(text_row, F.struct("key", "held", "n_tokens"))).alias("t"),
         either(F.col("n_known"), F.when(F.col("n") > 0, 1).otherwise(0)).cast("long").alias("n_known"),
         either(F.col("base"), F.log10((F.col("n") + 1) / F.lit(float(total)))).alias("base_score"),
-        *[(either(F.col(f"t{k}"), F.col(s).cast("double")) + prior[k]).alias(s) for k, s in enumerate(scores)])
+        *[(either(F.col(f"t{k}"), F.col(s)) + prior[k]).alias(s) for k, s in enumerate(scores)])
     best = F.greatest(*scores) if kinds > 1 else F.col(scores[0])
     mixed = best + F.log10(sum((F.pow(F.lit(10.0), F.col(s) - best) for s in scores[1:]), F.pow(F.lit(10.0), F.col(scores[0]) - best)))
     return summed.select("row", F.col("t.key").alias("key"), F.col("t.held").alias("held_out"), "t.n_tokens", "n_known",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandscape.llm import lattice as L
-from bandscape.llm.pieces import SPACE
+from bandscape.llm.pieces import SPACE, load
 
 
 def slow(word, p, byte, stop):
@@ -94,6 +94,52 @@ def test_documents(spark):
     assert by[64] > by[62]
 
 
+def test_score_is_the_mixture_of_discounted_words(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = ["the", "of", "Ände", "tion", "日本", "x" * 40] + [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 1 + i % 20)), [None, "x", "y", "y"][i % 4]) for i in range(80)]
+    rows += [(80, None, "x"), (81, "", None), (82, "unseen words", "x"), (82, "unseen words", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = L.classes(docs, F.col("lang"), is_held())
+    own = [name for name, _ in named]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in rows]
+    counts = [Counter() for _ in own]
+    for (_, t, lang), h in zip(rows, held):
+        if not h:
+            counts[own.index(lang)].update([w.decode() for w in L.tokens(t)] + [L.END])
+    every = sum(counts, Counter())
+    n, v = every.total(), len(every)
+    n1, n2 = (sum(c == i for c in every.values()) for i in (1, 2))
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    table = spark.createDataFrame([(w, *[c[w] for c in counts]) for w in every],
+                                  "word string, " + ", ".join(f"c{k} long" for k in range(len(own))))
+    pieces = load().pieces
+    ways = [({p: math.exp(x) for p, x in zip(pieces, m.log_p)}, math.exp(m.byte), math.exp(m.stop)) for m in L.train(table, len(own))]
+
+    def word(w, k):
+        below = 0 if w == L.END else slow(SPACE + w, *ways[k])
+        below = max(every[w] - discount, 0) / n + discount * v / n * below
+        c = counts[k]
+        return max(c[w] - discount, 0) / c.total() + discount * len(c) / c.total() * below
+
+    texts = sum(size for _, size in named)
+    want = []
+    for d, t, _ in rows:
+        words = [w.decode() for w in L.tokens(t)] + [L.END]
+        logs = [math.log10(size / texts) + sum(math.log10(word(w, k)) for w in words) for k, (_, size) in enumerate(named)]
+        want.append((d, max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs))))
+    got = sorted((r.key, r.score) for r in L.score(docs, "doc_id", "text", is_held(), F.col("lang")).collect())
+    assert [d for d, _ in got] == [d for d, _ in sorted(want)]
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(want)], rtol=1e-9)
+
+
+def test_long_words_beside_short_ones():
+    words = ["a", "", "ab" * 400, "b", "abx", "ab" * 399 + "é"]
+    got = model().log_probability(words)
+    assert np.allclose(np.exp(got[[0, 1, 3, 4]]), [slow(words[i], PIECES, 0.001, 0.2) for i in (0, 1, 3, 4)], rtol=1e-9)
+    assert all(got[i] == model().log_probability([words[i]])[0] for i in range(len(words)))
+
+
 def test_probabilities_sum_to_less_than_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a", "b a", "ab a", "b"] * 3)], "doc_id long, text string")
     probe = [(100, ""), *[(101 + i, t) for i, t in enumerate(["a", "b", "ab", "c", "a b", "a a", "b a", "b b", "ab ab"])]]
