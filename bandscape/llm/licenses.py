@@ -69,7 +69,7 @@ def needles(spark: SparkSession, phrases: list[tuple[str, str]], templates: list
     cut = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)))
     cut = cut.select("template", "label", F.slice("w", F.col("at") + 1, F.lit(TOKEN)).alias("words"), "at", "grams")
     return whole.unionByName(cut).withColumns({
-        "id": F.col("template") * 100_000 + F.col("at"), "token": token(F.col("words"), F.lit(0)), "offset": F.lit(0)})
+        "id": F.shiftleft(F.col("template").cast("long"), 32) + F.col("at"), "token": token(F.col("words"), F.lit(0)), "offset": F.lit(0)})
 
 
 def _labels(*names: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, numbered
+from ..functions.runtime import materialise
+from .common import SENT, ascii_lower, numbered
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = 3                   # words of a token
@@ -22,17 +23,17 @@ def token(sequence: Column, at: Column, width: int = TOKEN) -> Column:
     return F.xxhash64(*[F.get(sequence, at + i) for i in range(width)])
 
 
-def exploded(rows: DataFrame, widths: list[int]) -> DataFrame:
-    """``rows`` (with ``_w``, ``_n``) once per word, with ``_pos`` and ``_token``;
-    a text without words stays as one row.  Widths besides ``TOKEN`` are those of
-    sequences that are shorter than a token."""
-    hashes = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: token(F.col("_w"), i)))
-    rows = rows.select("*", F.posexplode_outer(hashes).alias("_pos", "_token"))
+def exploded(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``rows`` (with words ``_w`` and their number ``_n``) once
+    per word, with ``_pos`` and ``_token``; a text without words stays as one row.
+    The words themselves aren't kept, as a copy at each word would cost the square of
+    a text's length.  Widths besides ``TOKEN`` are those of sequences that are shorter
+    than a token."""
     short = [w for w in widths if w != TOKEN]
-    if short:
-        every = F.array(F.col("_token"), *[token(F.col("_w"), F.col("_pos"), w) for w in short])
-        rows = rows.withColumn("_token", F.explode(every))
-    return rows
+    hashes = (lambda i: F.array(*[token(F.col("_w"), i, w) for w in (TOKEN, *short)])) if short else (lambda i: token(F.col("_w"), i))
+    at = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), hashes))
+    rows = rows.select(*keep, F.posexplode_outer(at).alias("_pos", "_token"))
+    return rows.withColumn("_token", F.explode_outer("_token")) if short else rows
 
 
 def in_blocks(needles: DataFrame, by: str, block: int) -> list[DataFrame]:
@@ -50,23 +51,36 @@ def occurrences(docs: DataFrame, key: str, text: str, needles: DataFrame, widths
     ``token`` hashes the words of the sequence from ``offset`` on.  Result: (row,
     key, n, start, id), one row per verified place, plus at least one row with a
     null id for each row of ``docs``.  ``row`` numbers the rows of ``docs``, ``n``
-    counts words.  Needles are broadcast in blocks of ``block``; only with more
-    than one block is ``docs`` written and read once per block.
+    counts words.  Needles are broadcast in blocks of ``block``; ``docs`` is written
+    once, read once per block, and its texts with a matching token once more.
     """
-    blocks = in_blocks(needles, "id", block)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_t"))
-    rows = numbered(rows, "row") if len(blocks) > 1 else rows.withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("row", "key", words(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
+    rows = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("_t")), "row")
+    split = rows.select("row", "key", words(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
     start, size = F.col("_pos") - F.col("offset"), F.size("words")
-    same = F.slice("_w", F.greatest(start, F.lit(0)) + 1, size) == F.col("words")
-    held = (start >= 0) & (start + size <= F.col("_n")) & same
+    fits = F.coalesce((start >= 0) & (start + size <= F.col("_n")), F.lit(False))
     found = None
-    for part in blocks:
-        joined = exploded(rows, widths).join(F.broadcast(part.withColumnRenamed("token", "_token")), "_token", "left")
-        held_or_null = F.coalesce(held, F.lit(False))
-        kept = joined.filter(held_or_null | (F.coalesce("_pos", F.lit(0)) == 0))
-        now = kept.select("row", "key", F.col("_n").cast("long").alias("n"),
-                          F.when(held_or_null, start).cast("long").alias("start"),
-                          F.when(held_or_null, F.col("id")).alias("id"))
+    for part in in_blocks(needles, "id", block):
+        joined = exploded(split, widths, "row", "key", "_n").join(
+            F.broadcast(part.withColumnRenamed("token", "_token")), "_token", "left")
+        kept = joined.filter(fits | (F.coalesce("_pos", F.lit(0)) == 0))
+        now = kept.select("row", "key", F.col("_n").cast("long").alias("n"), F.when(fits, start).alias("start"),
+                          F.when(fits, F.col("id")).alias("id"), F.when(fits, F.col("words")).alias("words"))
         found = now if found is None else found.unionByName(now)
-    return found
+    found = materialise(found)
+    every = found.select("row", "key", "n", F.lit(None).cast("long").alias("start"),
+                         F.lit(None).cast(needles.schema["id"].dataType).alias("id"))
+    return every.distinct().unionByName(_verified(found.filter("id is not null"), rows))
+
+
+def _verified(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``places`` at which the words of the text are those of the sequence;
+    only texts with a place are split into words again, once each."""
+    starts = places.groupBy("row", "key", "n", "id").agg(F.first("words").alias("words"), F.collect_list("start").alias("starts"))
+    by_text = materialise(starts.groupBy("row", "key", "n").agg(F.collect_list(F.struct("id", "words", "starts")).alias("_p")))
+    few = by_text.count() <= SENT
+    wanted = F.broadcast(by_text.select("row")) if few else by_text.select("row")
+    texts = rows.join(wanted, "row", "left_semi").select("row", words(F.col("_t")).alias("_w"))
+    same = lambda p: F.filter(p["starts"], lambda s: F.slice(F.col("_w"), s + 1, F.size(p["words"])) == p["words"])
+    kept = F.transform("_p", lambda p: F.struct(p["id"].alias("id"), same(p).alias("starts")))
+    held = by_text.join(texts, "row").select("row", "key", "n", F.explode(kept).alias("_p"))
+    return held.select("row", "key", "n", F.explode("_p.starts").cast("long").alias("start"), F.col("_p.id").alias("id"))

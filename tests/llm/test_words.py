@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from bandscape.llm import contamination, licenses
 
@@ -73,3 +74,20 @@ def test_licenses(spark):
     for k in (1, 2, None):
         assert (by[k].n_base, by[k].first_word, by[k].labels, by[k].score) == (0, None, "", 0.0)
     assert licenses.licenses(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_of_a_million_words(spark):
+    started = time.monotonic()
+    notice = "Licensed under CC BY-NC 4.0. "
+    text = ("lorem ipsum " * 1_000 + "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 " + notice) * 500
+    n = len(words(text))
+    assert n > 1_000_000
+    docs = frame(spark, [(1, text), (2, "q1 q2"), (3, text[::-1])], "doc_id long, text string")
+    items = frame(spark, [(7, " ".join(f"q{i}" for i in range(1, 14))), (8, "q14 q13"), (9, "lorem ipsum " * 7)], "item_id long, text string")
+    by = {r.key: r for r in contamination.contamination(docs, items).collect()}
+    assert (by[1].n_words, by[1].n_hit, by[1].n_items, by[1].contaminated) == (n, 500 * 2013, 2, True)
+    assert by[2].n_hit == by[3].n_hit == 0
+    by = {r.key: r for r in licenses.licenses(docs).collect()}
+    assert (by[1].n_base, by[1].first_word, by[1].last_word) == (500, 2016, n - 5) and by[1].base_labels == "cc-by-nc"
+    assert by[3].n_base == 0 and by[3].labels == ""
+    assert time.monotonic() - started < 180
