@@ -83,4 +83,5 @@ def _verified(places: DataFrame, rows: DataFrame) -> DataFrame:
     same = lambda p: F.filter(p["starts"], lambda s: F.slice(F.col("_w"), s + 1, F.size(p["words"])) == p["words"])
     kept = F.transform("_p", lambda p: F.struct(p["id"].alias("id"), same(p).alias("starts")))
     held = by_text.join(texts, "row").select("row", "key", "n", F.explode(kept).alias("_p"))
-    return held.select("row", "key", "n", F.explode("_p.starts").cast("long").alias("start"), F.col("_p.id").alias("id"))
+    return held.select("row", "key", "n", F.explode("_p.starts").alias("start"), F.col("_p.id").alias("id")).withColumn(
+        "start", F.col("start").cast("long"))
