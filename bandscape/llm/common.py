@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +17,7 @@ from ..functions.joins import attach
 from ..functions.runtime import materialise
 
 SENT = 2_000_000            # row numbers sent to every executor at once
+PORTION = 2 << 20           # bytes of text in hand at once
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,6 +40,35 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     return materialise(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
+def portions(batch: pa.RecordBatch, at: int, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes in column ``at``; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for mapInArrow or mapInPandas that gives freed memory back when a task ends.
+
+    Spark keeps Python workers for later tasks; without this an idle one goes on
+    holding the most that any of its tasks ever needed.
+    """
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # where the C library has it
+                trim(0)
+
+    return run
+
+
 def without_rows(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose number is in ``gone``, which is broadcast up to ``SENT`` numbers."""
     gone = materialise(gone.select(row).distinct())

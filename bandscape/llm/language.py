@@ -19,12 +19,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import materialise
+from .common import lean, portions
 
 ORDER = 5
 FIT = 2_000_000             # characters fitted for a language
@@ -37,7 +37,6 @@ FLOOR = 8.0                 # least limit, in standard deviations
 LEAST_DEVIATION = 0.25      # of a character, in nats
 ALPHABET = 65_536           # characters of the uniform distribution below the unigrams
 CHARS = 1 << 19             # characters in hand at once
-PORTION = 2 << 20          # bytes of text predicted at once
 UNKNOWN = "und"
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -212,7 +211,7 @@ def train(docs: DataFrame, text: str, lang: str, row: Column, chars: int = FIT)
     picked = chosen.filter(F.when(F.col("u") < F.col("share"), F.col("u") < F.col("share") * F.col("fit"))
                            .otherwise(F.col("u") < F.col("share") + (1 - F.col("share")) * F.col("test")))
     picked = materialise(picked.select("t", "lang", "texts", (F.col("u") >= F.col("share")).alias("held")))
-    counts = picked.filter("not held").select("t", "lang").mapInPandas(_gram_counts, "lang string, gram string, n long")
+    counts = picked.filter("not held").select("t", "lang").mapInPandas(lean(_gram_counts), "lang string, gram string, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     tables = counts.groupBy("lang").applyInPandas(_fitted, "lang string, arrays array<binary>").collect()
     model = Model({r.lang: list(r.arrays) for r in tables})
@@ -235,17 +234,6 @@ def _limits(model: Model, held: DataFrame) -> dict[str, tuple[float, float, floa
             for r in off.collect()}
 
 
-def _portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``PORTION`` bytes of text; a longer text is a slice of its own."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = upto[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(upto, before + PORTION, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, lang_pred, score, n, cross_entropy, rejected for every row.
 
@@ -260,7 +248,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, at):
+            for part in portions(batch, at):
                 found = shared.value.predict(part.column(at).to_pylist())
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
                 added = [pa.array(found[c].to_numpy(), k, from_pandas=True) for c, k in zip(found.columns, kinds)]
@@ -269,7 +257,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFr
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return sent.mapInArrow(
-        work, f"{kinds}, lang_pred string, score double, n long, cross_entropy double, rejected boolean")
+        lean(work), f"{kinds}, lang_pred string, score double, n long, cross_entropy double, rejected boolean")
 
 
 def identify(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -12,7 +12,8 @@ context.  Contexts are grouped by their anchor's hash:
   smaller places in suffix order give each window's longest earlier match.
 
 An anchor with more than ``CROWDED`` distinct contexts, as in a line that very many
-texts share, is settled by hashes of its windows, counted like any other rows.
+texts share, or with more than ``SORTED`` bytes of them, as in long periodic texts,
+is settled by hashes of its windows, counted like any other rows.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import materialise
-from .common import fresh
+from .common import fresh, lean, portions
 
 SPAN = 200
 GRAM = 80
 CHUNK = 1 << 18             # bytes of a text in hand at once
 BATCH = 1 << 19             # bytes sorted at once
 CROWDED = 2000
+SORTED = 1 << 20            # bytes of an anchor's distinct contexts that one task sorts
 SENT = 2_000_000            # rows of two or three numbers that are broadcast
 BASE = 0x9E3779B97F4A7C15
 
@@ -101,8 +103,7 @@ def _anchors(docs: DataFrame, row: str, key: str, text: str, span: int, gram: in
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for part in portions(batch, 2):
                 owner, found = [], []
                 for i, t in enumerate(part["t"]):
                     data = np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid and len(t.as_buffer()) else np.zeros(0, np.uint8)
@@ -119,7 +120,7 @@ def _anchors(docs: DataFrame, row: str, key: str, text: str, span: int, gram: in
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        work, f"row long, key {kind}, lo long, n int, a long, c long, inner boolean")
+        lean(work), f"row long, key {kind}, lo long, n int, a long, c long, inner boolean")
 
 
 # --- suffix order ---------------------------------------------------------------
@@ -188,18 +189,20 @@ def longest_previous(order: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def repeated_windows(parts: list[bytes], span: int, first: bool) -> list[np.ndarray]:
     """For each part, one of distinct contexts in their order of occurrence: does
-    the window at each start occur elsewhere (``first``: at an earlier place)?"""
+    the window at each start occur elsewhere (``first``: at an earlier place)?
+
+    Earlier matches are longest previous factors; later ones are those of the
+    places in reverse, whose suffix order is the same.
+    """
     sizes = np.array([len(p) for p in parts])
     counts, offset = sizes - span + 1, np.cumsum(sizes) - sizes
     which = np.repeat(np.arange(len(parts)), counts)
     edges = np.cumsum(counts) - counts
     starts = np.arange(len(which)) - edges[which] + offset[which]
     order, common = suffix_order(np.frombuffer(b"".join(parts), np.uint8), starts, span)
-    if first:
-        hit = longest_previous(order, common) >= span
-    else:
-        hit = np.zeros(len(starts), bool)
-        hit[order] = np.maximum(common, np.concatenate([common[1:], [0]])) >= span
+    hit = longest_previous(order, common) >= span
+    if not first:
+        hit |= longest_previous(len(order) - 1 - order, common)[::-1] >= span
     return np.split(hit, edges[1:])
 
 
@@ -211,7 +214,7 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- spans -------------------------------------------------------------------
 
 def repeated_spans(docs: DataFrame, row: str, key: str, text: str, keep_first: bool, span: int = SPAN, gram: int = GRAM,
-                   crowded: int = CROWDED, sent: int = SENT) -> DataFrame:
+                   crowded: int = CROWDED, most: int = SORTED, sent: int = SENT) -> DataFrame:
     """(row, lo, hi): byte ranges covered by windows that occur more than once.
 
     With ``keep_first`` the first occurrence of each window, by ``key``, row and
@@ -224,21 +227,23 @@ def repeated_spans(docs: DataFrame, row: str, key: str, text: str, keep_first: b
     at = F.struct(F.col("key").isNotNull().alias("k0"), "key", "row", "lo", "n")        # null keys come first
     classes = materialise(rows.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(at).alias("first"),
                                                            F.max("inner").alias("inner")))
-    groups = classes.groupBy("a").agg(F.count("*").alias("k"), F.max("inner").alias("i")).filter("k > 1 or i").select("a", "k")
-    mixed = materialise(classes.join(groups, "a").select("a", "k", "m", "first", "first.row", "first.lo", "first.n"))
+    size = F.sum(F.col("first.n") + (span - 1))
+    groups = classes.groupBy("a").agg(F.count("*").alias("k"), F.max("inner").alias("i"), size.alias("size")).filter("k > 1 or i")
+    groups = groups.select("a", ((F.col("k") > crowded) | (F.col("size") > most)).alias("many"))
+    mixed = materialise(classes.join(groups, "a").select("a", "many", "m", "first", "first.row", "first.lo", "first.n"))
 
     copies = rows.join(classes.filter("m > 1").drop("inner"), ["a", "c"])
     if keep_first:
         copies = copies.filter((F.col("row") != F.col("first.row")) | (F.col("lo") != F.col("first.lo")))
     spans = copies.select("row", "lo", (F.col("lo") + F.col("n") + (span - 1)).alias("hi"))
 
-    wanted = mixed.select("row", "lo", "n", "a", "k", "m", "first")
+    wanted = mixed.select("row", "lo", "n", "a", "many", "m", "first")
     data = _of_rows(docs.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("t")), "row", wanted, sent).join(wanted, "row")
     cut = F.substring(F.col("t"), (F.col("lo") + 1).cast("int"), (F.col("n") + (span - 1)).cast("int"))
-    data = materialise(data.select("a", "k", "m", "first", "row", "lo", cut.alias("t")))
-    spans = spans.unionByName(_sorted_spans(data.filter(F.col("k") <= crowded), span, keep_first))
-    if not mixed.filter(F.col("k") > crowded).isEmpty():
-        spans = spans.unionByName(_counted_spans(data.filter(F.col("k") > crowded), span, keep_first))
+    data = materialise(data.select("a", "many", "m", "first", "row", "lo", cut.alias("t")))
+    spans = spans.unionByName(_sorted_spans(data.filter(~F.col("many")), span, keep_first))
+    if not mixed.filter("many").isEmpty():
+        spans = spans.unionByName(_counted_spans(data.filter("many"), span, keep_first))
     return spans
 
 
@@ -264,7 +269,7 @@ def _sorted_spans(data: DataFrame, span: int, keep_first: bool) -> DataFrame:
             yield settled(held)
 
     dealt = data.repartition("a").sortWithinPartitions("a", "first").select("row", "lo", "m", "a", "t")
-    return dealt.mapInArrow(work, "row long, lo long, hi long")
+    return dealt.mapInArrow(lean(work), "row long, lo long, hi long")
 
 
 def _counted_spans(data: DataFrame, span: int, keep_first: bool) -> DataFrame:
@@ -284,7 +289,7 @@ def _counted_spans(data: DataFrame, span: int, keep_first: bool) -> DataFrame:
                         ["row", "m", "a", "first", "h", "s"])
 
     first = data.schema["first"].dataType.simpleString()
-    windows = data.select("row", "lo", "m", "a", "first", "t").mapInArrow(work, f"row long, m long, a long, first {first}, h long, s long")
+    windows = data.select("row", "lo", "m", "a", "first", "t").mapInArrow(lean(work), f"row long, m long, a long, first {first}, h long, s long")
     windows = materialise(windows)
     place = F.struct("first", "s")
     seen = windows.groupBy("a", "h").agg(F.count("*").alias("_n"), F.min(place).alias("_least")).filter("_n > 1")
@@ -343,10 +348,10 @@ def digest(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = Fa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, spans in zip(batch["t"].to_pylist(), batch["_spans"].to_pylist()):
-                runs = merged([(s["lo"], s["hi"]) for s in spans or []])
-                rest = kept_bytes(t or b"", runs)
-                out.append((len(t or b""), len(t or b"") - len(rest), len(runs), hashlib.sha256(rest).hexdigest()))
+            for t, spans in zip(batch["t"], batch["_spans"]):
+                t, runs = t.as_py() or b"", merged([(s["lo"], s["hi"]) for s in spans.as_py() or []])
+                rest = kept_bytes(t, runs)
+                out.append((len(t), len(t) - len(rest), len(runs), hashlib.sha256(rest).hexdigest()))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], batch["key"], *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())],
@@ -356,25 +361,26 @@ def digest(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = Fa
     rows = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
     return _with_spans(rows, "row", spans, "_spans", sent).select("row", "key", "t", "_spans").mapInArrow(
-        work, f"row long, key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(work), f"row long, key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, row: str, key: str, text: str, keep_first: bool = True, sent: int = SENT, **options) -> DataFrame:
     """``docs`` with the repeated parts cut out of ``text``, at whole characters; all
     other columns stay as they are."""
-    name = fresh(docs, "_spans")
+    name, at = fresh(docs, "_spans"), docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns))
-            texts = []
-            for t, spans in zip(columns[text].to_pylist(), columns.pop(name).to_pylist()):
-                if spans:
-                    runs = merged([(s["lo"], s["hi"]) for s in spans])
-                    t = kept_bytes(t.encode("utf-8", "surrogatepass"), runs, True).decode("utf-8", "replace")
-                texts.append(t)
-            columns[text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            for part in portions(batch, at):
+                columns = dict(zip(part.schema.names, part.columns))
+                texts = []
+                for t, spans in zip(columns[text].to_pylist(), columns.pop(name).to_pylist()):
+                    if spans:
+                        runs = merged([(s["lo"], s["hi"]) for s in spans])
+                        t = kept_bytes(t.encode("utf-8", "surrogatepass"), runs, True).decode("utf-8", "replace")
+                    texts.append(t)
+                columns[text] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     spans = repeated_spans(docs, row, key, text, keep_first, sent=sent, **options)
-    return _with_spans(docs, row, spans, name, sent).select(*docs.columns, name).mapInArrow(work, docs.schema)
+    return _with_spans(docs, row, spans, name, sent).select(*docs.columns, name).mapInArrow(lean(work), docs.schema)

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, portions
 from .pieces import MODEL, SPACE, Vocabulary, load
 
 CACHE = 300_000             # words whose ids a task keeps
 SLICE = 1 << 20             # characters in hand at once
-ROWS = 500                  # texts per result batch
 NONE = object()
 
 
@@ -93,13 +93,16 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null or empty text has none."""
-        cut = [[self.units.findall(part) for part in _slices(t)] if t else [] for t in texts]
-        new = {w for parts in cut for part in parts for w in part}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {w: self.cache[w] for w in new if w in self.cache}
-        self.learn(new.difference(self.cache))
-        look = self.cache.__getitem__
-        return [b"".join(b"".join(map(look, part)) for part in parts) for parts in cut]
+        ids: list[list[bytes]] = [[] for _ in texts]
+        for group in _groups(texts):
+            cut = [(i, self.units.findall(part)) for i, part in group]
+            new = {w for _, words in cut for w in words}
+            if len(self.cache) + len(new) > CACHE:
+                self.cache = {w: self.cache[w] for w in new if w in self.cache}
+            self.learn(new.difference(self.cache))
+            for i, words in cut:
+                ids[i].append(b"".join(map(self.cache.__getitem__, words)))
+        return [b"".join(x) for x in ids]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the mark put in front is taken away."""
@@ -107,6 +110,19 @@ class Codec:
         return found.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """(index, part) of all texts in lists of about ``SLICE`` characters."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for part in _slices(text) if text else ():
+            held.append((i, part))
+            size += len(part)
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+    yield held
+
+
 def _slices(text: str) -> Iterator[str]:
     """The marked text in parts that end before a mark."""
     marked = SPACE + text.replace(" ", SPACE)
@@ -133,8 +149,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.slice(at, ROWS)
+            for part in portions(batch, 1):
                 texts = part["t"].to_pylist()
                 ids = codec.encode(texts)
                 back = [codec.decode(i) for i in ids]
@@ -149,7 +164,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
     kind = docs.schema[key].dataType.simpleString()
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(
-        work, f"key {kind}, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
+        lean(work), f"key {kind}, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
     return found.withColumnRenamed("key", key)
 
 
@@ -164,5 +179,5 @@ def decode(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = M
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(texts, pa.string())], ["key", "text"])
 
     kind = rows.schema[key].dataType.simpleString()
-    found = rows.select(F.col(key).alias("key"), F.col(ids).alias("i")).mapInArrow(work, f"key {kind}, text string")
+    found = rows.select(F.col(key).alias("key"), F.col(ids).alias("i")).mapInArrow(lean(work), f"key {kind}, text string")
     return found.withColumnRenamed("key", key)

@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import materialise
-from .common import components
+from .common import components, lean, portions
 
 SEED = 42
 SHINGLE = 3
@@ -56,13 +57,14 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fp): one row per row of ``docs``; ``fp`` holds the 64 bits as a long."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            bits = np.fromiter((fingerprint(t) for t in rows["t"]), np.uint64, len(rows))
-            yield pd.DataFrame({"key": rows["key"], "fp": bits.view(np.int64)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in portions(batch, 1):
+                bits = np.fromiter(map(fingerprint, rows.column(1).to_pylist()), np.uint64, len(rows))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(bits.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInPandas(work, f"key {kind}, fp long")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(lean(work), f"key {kind}, fp long")
     return found.withColumnRenamed("key", key)
 
 
@@ -143,7 +145,7 @@ def _linked(shared: DataFrame) -> DataFrame:
             yield from _pairs(rest)
 
     ordered = shared.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return ordered.mapInPandas(work, "a long, b long")
+    return ordered.mapInPandas(lean(work), "a long, b long")
 
 
 def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:

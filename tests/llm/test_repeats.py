@@ -42,13 +42,14 @@ def corpus(seed, n=60, letters="ab cdéf"):
     return out
 
 
-@pytest.mark.parametrize("seed,first,crowded,sent", [(0, False, 2000, 10**6), (1, True, 2000, 0), (2, False, 1, 0), (3, True, 1, 10**6)])
-def test_equals_brute_force(spark, monkeypatch, seed, first, crowded, sent):
+@pytest.mark.parametrize("seed,first,crowded,most,sent", [(0, False, 2000, 10**6, 10**6), (1, True, 2000, 10**6, 0), (2, False, 1, 10**6, 0),
+                                                          (3, True, 1, 10**6, 10**6), (4, False, 2000, 60, 10**6), (5, True, 2000, 60, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, first, crowded, most, sent):
     monkeypatch.setattr(R, "CHUNK", 64)
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, "n") for i, t in enumerate(texts)], "doc_id long, text string, lo int, row string")
     docs = numbered(docs, "_row")
-    got = R.digest(docs, "_row", "doc_id", "text", first, span=20, gram=8, crowded=crowded, sent=sent).collect()
+    got = R.digest(docs, "_row", "doc_id", "text", first, span=20, gram=8, crowded=crowded, most=most, sent=sent).collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(got, key=lambda r: r.key)] == slow(texts, 20, first)
 
 
@@ -63,6 +64,25 @@ def test_long_texts_at_full_width(spark):
         assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(got, key=lambda r: r.key)] == slow(texts, 200, first)
 
 
+def test_long_periodic_texts_among_many(spark):
+    texts = ["-" * 400_000, "-" * 250_000 + "x", "ab" * 150_000, "-" * 150, "-" * 200, "plain", *["-" * (199 + i) for i in range(40)]]
+    docs = numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "_row")
+    got = {r.key: (r.n_removed, r.n_spans) for r in R.digest(docs, "_row", "doc_id", "text").collect()}
+    want = [(len(t), 1) if len(t) >= 200 and t[0] in "-a" else (0, 0) for t in texts]
+    want[1] = (250_000, 1)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_earlier_and_later_matches():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        parts = [bytes(rng.integers(97, 99, int(k)).astype(np.uint8)) for k in rng.integers(9, 30, 6)]
+        windows = [[p[i:i + 9] for i in range(len(p) - 8)] for p in parts]
+        line = [w for part in windows for w in part]
+        for first, hits in [(False, [line.count(w) > 1 for w in line]), (True, [w in line[:i] for i, w in enumerate(line)])]:
+            assert np.concatenate(R.repeated_windows(parts, 9, first)).tolist() == hits
+
+
 def test_suffix_order_and_longest_previous():
     rng = np.random.default_rng(0)
     for span in (8, 9, 20, 31, 200):

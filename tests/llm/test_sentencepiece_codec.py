@@ -117,3 +117,11 @@ def test_documents(spark):
     back = {r.doc_id: r.text for r in S.decode(S.encode(docs)).collect()}
     assert all(back[i] == t for i, t in enumerate(TEXTS)) and back[91] == "a b"
     assert S.encode(docs.limit(0)).count() == 0
+
+
+def test_slices_and_cache_do_not_change_ids(codec, monkeypatch):
+    texts = ["The quick  brown fox, jumps\r over;\r\n " * 40, None, "", "x" * 300, " a b c " * 50, "Füße über Öl " * 30]
+    want = codec.encode(texts)
+    monkeypatch.setattr(S, "SLICE", 50)
+    monkeypatch.setattr(S, "CACHE", 10)
+    assert S.Codec(load()).encode(texts) == want and want[1] == want[2] == b""
