@@ -15,7 +15,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_folder: str | None = None
 _written: list[str] = []
-_tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -49,7 +49,7 @@ def materialise(df: DataFrame) -> DataFrame:
     path = new_path(spark)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    _tables.add(table)
+    _tables[table] = path
     return table
 
 
@@ -58,9 +58,19 @@ def is_written(df: DataFrame) -> bool:
     return df in _tables
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table written by :func:`materialise` that nothing reads any more."""
+    path = _tables.pop(table)
+    _written.remove(path)
+    _delete(table.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table written by :func:`materialise`, once results are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
