@@ -29,13 +29,14 @@ def item_windows(items: DataFrame, item: str, text: str, window: int = WINDOW) -
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                   item: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                  block: int = BLOCK) -> DataFrame:
+                  block: int = BLOCK, row: str | None = None) -> DataFrame:
     """(row, key, n_words, n_hit, n_items, items_sha256, contaminated) per row of ``docs``.
 
     A word inside any occurrence of a window counts once.  Null and empty texts
     have no words and are clean; repeated rows give a result each (``row`` keeps
     them apart); items without words and null ids of items take no part in the
-    list of items; with no items every document is clean.
+    list of items; with no items every document is clean.  ``row`` may name a column that
+    numbers the rows of ``docs``, a written table, which then isn't written again.
     """
     members = materialise(item_windows(items, item, item_text, window))
     windows = members.select("id", "words").distinct()
@@ -51,7 +52,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ranked = places.join(counts, "token", "left").groupBy("id").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("rare"), F.first("words").alias("words"))
     needles = materialise(ranked.filter("rare.n > 0").select("id", "words", "rare.token", "rare.offset"))
-    found = materialise(occurrences(docs, key, text, needles, widths, block))
+    found = materialise(occurrences(docs, key, text, needles, widths, block, row))
     return _summary(found, members)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import materialise
+from ..functions.runtime import discard, materialise
 from .common import fresh, lean, portions
 
 SPAN = 200
@@ -224,6 +224,7 @@ def repeated_spans(docs: DataFrame, row: str, key: str, text: str, keep_first: b
     again = materialise(found.groupBy("a").agg(F.count("*").alias("_n"), F.max("inner").alias("_i")).filter("_n > 1 or _i").select("a"))
     again = F.broadcast(again) if again.count() <= sent else again
     rows = materialise(found.join(again, "a", "left_semi"))
+    discard(found)
     at = F.struct(F.col("key").isNotNull().alias("k0"), "key", "row", "lo", "n")        # null keys come first
     classes = materialise(rows.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(at).alias("first"),
                                                            F.max("inner").alias("inner")))

@@ -45,16 +45,18 @@ def in_blocks(needles: DataFrame, by: str, block: int) -> list[DataFrame]:
 
 
 def occurrences(docs: DataFrame, key: str, text: str, needles: DataFrame, widths: list[int],
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, row: str | None = None) -> DataFrame:
     """Places in ``docs`` of the sequences in ``needles`` (id, words, token, offset).
 
     ``token`` hashes the words of the sequence from ``offset`` on.  Result: (row,
     key, n, start, id), one row per verified place, plus at least one row with a
     null id for each row of ``docs``.  ``row`` numbers the rows of ``docs``, ``n``
     counts words.  Needles are broadcast in blocks of ``block``; ``docs`` is written
-    once, read once per block, and its texts with a matching token once more.
+    once, read once per block, and its texts with a matching token once more.  It
+    isn't written if ``row`` names a column that numbers the rows of a written table.
     """
-    rows = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("_t")), "row")
+    rows = docs.select(*([F.col(row).alias("row")] if row else []), F.col(key).alias("key"), F.col(text).alias("_t"))
+    rows = rows if row else numbered(rows, "row")
     split = rows.select("row", "key", words(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
     start, size = F.col("_pos") - F.col("offset"), F.size("words")
     fits = F.coalesce((start >= 0) & (start + size <= F.col("_n")), F.lit(False))
