@@ -55,7 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents of which a twentieth is in windows of the benchmark go."""
     row = fresh(docs, "_row")
     kept = numbered(docs, row)
-    found = contamination.contamination(kept, table(spark, sf_dir, "benchmark"), key=row)
+    found = contamination.contamination(kept, table(spark, sf_dir, "benchmark"), key=row, row=row)
     return without_rows(kept, row, found.filter("contaminated").select(F.col("key").alias(row))).select(*docs.columns)
 
 
