@@ -1,5 +1,7 @@
 """The path beyond the broadcast limit gives the same rows without a broadcast."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,13 @@ def test_hot_key_is_cut_into_slices(tight):
 def test_ranks_of_a_hot_group(spark):
     got = J.ranked(hot(spark), ["k"], ["id"], "pos").filter("k = 0").orderBy("id").collect()
     assert [r.pos for r in got] == list(range(1, 2001))
+
+
+def test_discarded_table_is_gone_and_others_stay(spark):
+    from bandscape.functions import runtime
+    first, second = (runtime.materialise(spark.range(n)) for n in (3, 4))
+    paths = [runtime._tables[t] for t in (first, second)]
+    runtime.discard(first)
+    assert not runtime.is_written(first) and runtime.is_written(second) and second.count() == 4
+    assert paths[0] not in runtime._written and paths[1] in runtime._written
+    assert [os.path.exists(p) for p in paths] == [False, True]
