@@ -27,7 +27,8 @@ def _bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", cheap: bool = False) -> DataFrame:
+def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", cheap: bool = False,
+           bounded: bool = False) -> DataFrame:
     """Join ``groups`` (one row per key) to every row of ``df``.
 
     The group table is computed once, written, and counted from its footers; a
@@ -35,13 +36,19 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left",
     Within the limits of rows and bytes it is broadcast, so ``df`` is not shuffled.  A larger
     one is joined by shuffling both sides on the keys plus a salt; one with so
     many groups that copies per slice would be a burden is joined plainly but
-    for its hot keys.  Either way no hot group lands in one task.
+    for its hot keys.  Either way no hot group lands in one task.  ``bounded`` says
+    that no key has many rows of ``df``; both sides are then shuffled as they are.
+
+    Joins beyond the limits are merged: the optimiser goes by the bytes of the written
+    table, which miss the copies and its compression, and would broadcast it.
     """
     if not cheap and not is_written(groups):
         groups = materialise(groups)
     rows = groups.count()
     if rows <= _setting(df, BROADCAST_ROWS, 100_000) and _bytes(groups) <= _setting(df, BROADCAST_BYTES, 64 << 20):
         return df.join(F.broadcast(groups), keys, how)
+    if bounded:
+        return df.join(groups.hint("merge"), keys, how)
     if rows <= _setting(df, SALT_ROWS, 10_000_000):
         return salted_join(df, groups, keys, how)
     return hot_split_join(df, groups, keys, how)
@@ -53,7 +60,7 @@ def salted_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "l
     spread = [c for c in df.columns if c not in keys] or keys
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(slices)).cast("int"))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def hot_split_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -66,7 +73,7 @@ def hot_split_join(df: DataFrame, groups: DataFrame, keys: list[str], how: str =
     counts = materialise(df.groupBy(*keys).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = F.broadcast(counts.filter(F.col("_n") * _setting(df, HOT_KEYS, 10_000) > total).select(*keys))
-    spread = df.join(hot, keys, "left_anti").join(groups, keys, how)
+    spread = df.join(hot, keys, "left_anti").join(groups.hint("merge"), keys, how)
     dense = df.join(hot, keys, "left_semi").join(F.broadcast(groups.join(hot, keys, "left_semi")), keys, how)
     return spread.unionByName(dense)
 

@@ -194,7 +194,7 @@ def balanced_sample(table: DataFrame, n: int = 1000, rows: int = 1024, columns:
               .filter("_next < _take AND (_next * _total) DIV _take < _start + _c")
               .select(*strip, "_start", "_take", "_total"))
     inside = Window.partitionBy(*strip).orderBy("x")
-    placed = (attach(labelled, wanted, strip, "inner")
+    placed = (attach(labelled, wanted, strip, "inner", bounded=True)        # the window below needs whole strips, too
               .withColumn("_p", F.col("_start") + F.row_number().over(inside) - F.lit(1)))
     # Position p is taken if it is floor(i * total / take) for a whole i below take.
     i = F.expr("(_p * _take + _total - 1) DIV _total")

@@ -49,6 +49,22 @@ def test_hot_key_is_cut_into_slices(tight):
     assert len(salts) == 4 and max(r["count"] for r in salts) < 700
 
 
+@pytest.mark.parametrize("kind", ["salted", "bounded", "split"])
+def test_small_looking_tables_are_not_broadcast(tight, kind):
+    # The optimiser sees the bytes of the written table only, which are few.
+    df = hot(tight)
+    groups = df.groupBy("k").agg(F.count("*").alias("n"))
+    if kind == "split":
+        tight.conf.set(J.SALT_ROWS, "0")
+    try:
+        joined = J.attach(df, groups, ["k"], bounded=kind == "bounded")
+    finally:
+        tight.conf.unset(J.SALT_ROWS)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and ("BroadcastHashJoin" in plan) == (kind == "split")
+    assert joined.filter("n IS NULL").isEmpty() and joined.count() == 3000
+
+
 def test_ranks_of_a_hot_group(spark):
     got = J.ranked(hot(spark), ["k"], ["id"], "pos").filter("k = 0").orderBy("id").collect()
     assert [r.pos for r in got] == list(range(1, 2001))
