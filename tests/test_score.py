@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from helpers import image, signal, table
 from pyspark.sql import functions as F
 
+from bandscape.functions import joins as J
 from bandscape.operators import bands as B
 from bandscape.operators import masks as M
 from bandscape.operators import score as SC
@@ -92,6 +94,20 @@ def test_balanced_sample_is_evenly_spaced(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [7, 1000])                    # of a sample query, and of a forest
+def test_balanced_sample_of_many_strips_is_not_broadcast(spark, n):
+    df = table(spark, {k: np.roll(LABEL, k, 0) for k in range(3)}, "label")
+    want = sorted(map(tuple, M.balanced_sample(df, n, rows=2, columns=3).collect()))
+    spark.conf.set(J.BROADCAST_ROWS, "0")
+    try:
+        sample = M.balanced_sample(df, n, rows=2, columns=3)
+    finally:
+        spark.conf.unset(J.BROADCAST_ROWS)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "_salt" not in plan
+    assert sorted(map(tuple, sample.collect())) == want
+
+
 def test_balanced_sample_needs_both_classes(spark):
     assert M.balanced_sample(table(spark, {0: np.full((3, 3), 255)}, "label")).count() == 0
 
