@@ -28,7 +28,7 @@ def _bytes(df: DataFrame) -> int:
 
 
 def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left", cheap: bool = False,
-           bounded: bool = False) -> DataFrame:
+           bounded: bool = False, reread: bool = False) -> DataFrame:
     """Join ``groups`` (one row per key) to every row of ``df``.
 
     The group table is computed once, written, and counted from its footers; a
@@ -38,6 +38,8 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left",
     many groups that copies per slice would be a burden is joined plainly but
     for its hot keys.  Either way no hot group lands in one task.  ``bounded`` says
     that no key has many rows of ``df``; both sides are then shuffled as they are.
+    ``reread`` says that ``df`` comes straight from a written table, so its hot keys are
+    counted and nothing is copied per slice.
 
     Joins beyond the limits are merged: the optimiser goes by the bytes of the written
     table, which miss the copies and its compression, and would broadcast it.
@@ -49,7 +51,7 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "left",
         return df.join(F.broadcast(groups), keys, how)
     if bounded:
         return df.join(groups.hint("merge"), keys, how)
-    if rows <= _setting(df, SALT_ROWS, 10_000_000):
+    if not reread and rows <= _setting(df, SALT_ROWS, 10_000_000):
         return salted_join(df, groups, keys, how)
     return hot_split_join(df, groups, keys, how)
 

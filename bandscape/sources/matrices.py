@@ -53,15 +53,18 @@ def parse_matrix_lines(lines: DataFrame) -> DataFrame:
     number = F.expr("coalesce(try_cast(trim(line) AS int), 0)")
     heads = lines.filter("line_no < 2").groupBy("path").agg(
         *[F.coalesce(F.max(F.when(F.col("line_no") == i, number)), F.lit(0)).alias(c) for i, c in enumerate(("_rows", "_cols"))])
-    body = (attach(lines.filter("line_no >= 2"), heads, ["path"], "inner")
-            .withColumn("y", (F.col("line_no") - 2).cast("int")).filter("y < _rows")
-            .withColumn("_cells", F.split("line", ",")))
+    rows = lines.filter("line_no >= 2").withColumn("y", (F.col("line_no") - 2).cast("int"))
+
+    def cells(sizes: DataFrame) -> DataFrame:
+        return (attach(rows, sizes, ["path"], "inner", reread=True).filter("y < _rows")
+                .withColumn("_cells", F.split("line", ",")))
+
     # A separator at the end of a line does not open another cell.
     whole = F.expr("size(_cells) - if(element_at(_cells, -1) = '', 1, 0) >= _cols")
-    complete = (body.groupBy("path").agg(F.count("*").alias("_n"), F.max("_rows").alias("_rows"), F.bool_and(whole).alias("_whole"))
-                .filter("_n = _rows AND _whole").select("path"))
-    return (attach(body, complete, ["path"], "left_semi")
-            .select("path", "_cols", "y", F.posexplode("_cells").alias("x", "cell")).filter("x < _cols")
+    complete = (cells(heads).groupBy("path")
+                .agg(F.count("*").alias("_n"), F.max("_rows").alias("_rows"), F.max("_cols").alias("_cols"), F.bool_and(whole).alias("_whole"))
+                .filter("_n = _rows AND _whole").select("path", "_rows", "_cols"))
+    return (cells(complete).select("path", "_cols", "y", F.posexplode("_cells").alias("x", "cell")).filter("x < _cols")
             .select("path", "y", "x", F.expr("coalesce(try_cast(trim(cell) AS float), 0.0F)").alias("value")))
 
 

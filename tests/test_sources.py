@@ -6,6 +6,7 @@ import pytest
 from helpers import image, table
 from pyspark.sql import functions as F
 
+from bandscape.functions import joins as J
 from bandscape.sources import catalog, images, matrices, sinks
 
 
@@ -127,6 +128,25 @@ def test_matrix_text_rejects_short_files(spark):
         ("ok", 0, 0): 1.0, ("ok", 0, 1): 2.5, ("ok", 1, 0): 3.0, ("ok", 1, 1): 0.0}
 
 
+def test_lines_of_many_matrices_meet_their_sizes_without_copies(spark):
+    rows = [(f"m{k}", i, line) for k in range(30) for i, line in enumerate(["2", "3", "1, 2, 3, ", "4, 5, 6, "])]
+    rows += [("short", 0, "2"), ("short", 1, "3"), ("short", 2, "1, 2, 3, ")]
+    rows += [("long", 0, "1"), ("long", 1, "2"), *(("long", i, "7, 8, 9, ") for i in range(2, 200))]
+    lines = spark.createDataFrame(rows, "path string, line_no bigint, line string")
+    want = sorted(map(tuple, matrices.parse_matrix_lines(lines).collect()))
+    assert len(want) == 30 * 6 + 2
+    spark.conf.set(J.BROADCAST_ROWS, "0")
+    spark.conf.set(J.HOT_KEYS, "3")                         # "long" is hot
+    try:
+        got = matrices.parse_matrix_lines(lines)
+    finally:
+        spark.conf.unset(J.BROADCAST_ROWS)
+        spark.conf.unset(J.HOT_KEYS)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_matrix_text_of_a_scene_in_parts(spark, tmp_path):
     path, rng = str(tmp_path / "m"), np.random.default_rng(6)
     images = {1: rng.integers(0, 255, (150, 9)), 2: rng.integers(0, 255, (3, 4))}
