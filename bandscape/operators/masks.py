@@ -180,8 +180,9 @@ def balanced_sample(table: DataFrame, n: int = 1000, rows: int = 1024, columns:
     above = Window.partitionBy("scene_id", "label").orderBy("_yb")              # one row per block
     starts = blocks.select(*block, (F.sum("_c").over(above) - F.col("_c")).alias("_before"))
     earlier = Window.partitionBy(*block).orderBy("y", "_xb")                    # strips of one block
-    offsets = (strips.withColumn("_within", F.sum("_c").over(earlier) - F.col("_c"))
-               .join(starts, block).select(*strip, "_c", (F.col("_before") + F.col("_within")).alias("_start")))
+    offsets = (attach(strips.withColumn("_within", F.sum("_c").over(earlier) - F.col("_c")), starts, block, "inner",
+                      bounded=True)
+               .select(*strip, "_c", (F.col("_before") + F.col("_within")).alias("_start")))
     sizes = (blocks.groupBy("scene_id")
              .agg(F.sum(F.when(F.col("label") == 255, F.col("_c"))).alias("_pos"),
                   F.sum(F.when(F.col("label") == 0, F.col("_c"))).alias("_neg"))

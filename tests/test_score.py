@@ -108,6 +108,28 @@ def test_balanced_sample_of_many_strips_is_not_broadcast(spark, n):
     assert sorted(map(tuple, sample.collect())) == want
 
 
+def test_no_step_of_a_balanced_sample_is_broadcast_beyond_the_limit(spark, monkeypatch):
+    written, plans = J.materialise, []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    for module in (M, J):
+        monkeypatch.setattr(module, "materialise", noted)
+    df = table(spark, {k: np.roll(LABEL, k, 0) for k in range(3)}, "label")
+    want = sorted(map(tuple, M.balanced_sample(df, 7, rows=2, columns=3).collect()))
+    plans.clear()
+    spark.conf.set(J.BROADCAST_ROWS, "0")
+    try:
+        sample = M.balanced_sample(df, 7, rows=2, columns=3)
+    finally:
+        spark.conf.unset(J.BROADCAST_ROWS)
+    assert any("SortMergeJoin" in plan for plan in plans)
+    assert not any("BroadcastHashJoin" in plan for plan in plans)
+    assert sorted(map(tuple, sample.collect())) == want
+
+
 def test_balanced_sample_needs_both_classes(spark):
     assert M.balanced_sample(table(spark, {0: np.full((3, 3), 255)}, "label")).count() == 0
 
