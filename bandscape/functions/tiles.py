@@ -25,7 +25,7 @@ def tile_bits(reach: int | None = None) -> int:
     return bits
 
 
-def _to_tiles(df: DataFrame) -> DataFrame:
+def to_tiles(df: DataFrame) -> DataFrame:
     """One shuffle on (scene, tile).  The number of partitions is the session's:
     window and array work is bound by processors, while merging partitions at
     run time would go by their bytes."""
@@ -46,7 +46,7 @@ def _tile(c: str | Column, bits: int | str) -> Column:
 
 def own_tiles(df: DataFrame, bits: int) -> DataFrame:
     """Shuffle every pixel to its own tile, without copies."""
-    return _to_tiles(df.withColumn("_ty", F.shiftright("y", bits)).withColumn("_tx", F.shiftright("x", bits)))
+    return to_tiles(df.withColumn("_ty", F.shiftright("y", bits)).withColumn("_tx", F.shiftright("x", bits)))
 
 
 def halo_tiles(df: DataFrame, reach: int | Column, bits: int | str) -> DataFrame:
@@ -57,7 +57,7 @@ def halo_tiles(df: DataFrame, reach: int | Column, bits: int | str) -> DataFrame
         low = _tile(F.greatest(F.col(c) - reach, F.lit(0)), bits)
         return F.explode(F.sequence(low, _tile(F.col(c) + reach, bits)))
 
-    return _to_tiles(df.withColumn("_ty", touched("y")).withColumn("_tx", touched("x")))
+    return to_tiles(df.withColumn("_ty", touched("y")).withColumn("_tx", touched("x")))
 
 
 def own_pixels(df: DataFrame, bits: int | str) -> DataFrame:

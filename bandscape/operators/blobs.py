@@ -167,13 +167,13 @@ def clean_blobs(mask: DataFrame, min_area: int, share: float = 0.75, d: float =
     """
     runs = materialise(label_runs(mask, bits))
     kept = materialise(_runs_above(runs, min_area)) if min_area > 0 else runs
-    large = _runs_above(kept, isolation_limit(blob_areas(kept), share))
+    areas = blob_areas(kept)
+    large = (attach(areas, isolation_limit(areas, share), ["scene_id"]).filter(F.col("area") > F.col("limit"))
+             .select("scene_id", "blob_id", F.lit(True).alias("anchor")))
     none = F.lit(False)
-    rows = (mask.withColumns({"anchor": none, "_kept": none})
-            .unionByName(run_pixels(kept).select(*PIXEL).withColumns({"anchor": none, "_kept": F.lit(True)}),
-                         allowMissingColumns=True)
-            .unionByName(run_pixels(large).select(*PIXEL).withColumns({"anchor": F.lit(True), "_kept": none}),
-                         allowMissingColumns=True))
+    rows = (mask.withColumns({"anchor": none, "_kept": none})       # a kept pixel is one more row, large or not
+            .unionByName(run_pixels(attach(kept, large, ["scene_id", "blob_id"]))
+                         .select(*PIXEL, F.coalesce("anchor", none).alias("anchor")).withColumn("_kept", F.lit(True)), allowMissingColumns=True))
     tile = tl.tile_bits(math.ceil(d))
     here = Window.partitionBy(*tl.TILE, "x").orderBy("y").rangeBetween(0, 0)        # the rows of one pixel
     flagged = near_flags(rows, d, tile).withColumn("_hit", F.max("_kept").over(here)).filter("label IS NOT NULL")

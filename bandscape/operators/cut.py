@@ -3,7 +3,8 @@
 The cut is found in whole numbers: costs and weights are rounded to ``1 / SCALE``.
 
 First, every tile is cut twice, with all pixels around it taken as background and
-as foreground.  The energy is submodular, so a pixel that has the same label both
+as foreground, after the pixels whose cost outweighs all their arcs have been given
+their label.  The energy is submodular, so a pixel that has the same label both
 times has it in the least cut of the whole scene as well.  It goes, and its pull
 on undecided neighbours becomes part of their costs.  Only undecided pixels take
 part in the next round, in tiles shifted by half an edge, so the work shrinks to
@@ -141,6 +142,24 @@ def _closed_cut(g: _Grid, gain: np.ndarray, arcs: np.ndarray) -> np.ndarray:
     return far[g.at] < _FAR
 
 
+def _outweighed(g: _Grid, gain: np.ndarray, pull: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels whose cost outweighs all arcs, whatever lies at their ends (1: background, -1: foreground,
+    0: left to the cut), and the costs and arcs of the other pixels without them."""
+    side, gain, arcs = np.zeros(len(gain), np.int64), gain.copy(), arcs.copy()
+    while True:
+        total = pull + arcs.sum(0)
+        found = np.where(side != 0, 0, np.where(gain >= total, 1, np.where(-gain > total, -1, 0)))
+        if not found.any():
+            return side, gain, arcs
+        side += found
+        spread = g.spread(found)
+        beside = np.stack([spread[g.at + s] for s in g.steps])
+        gain += (arcs * beside).sum(0)
+        gain[side != 0] = 0
+        arcs[beside != 0] = 0
+        arcs[:, found != 0] = 0
+
+
 def _decide(y: np.ndarray, x: np.ndarray, gain: np.ndarray, arcs: np.ndarray, tile: tuple[int, int], bits: int,
             shift: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Labels that hold whatever lies around the tile (-1: open), costs and arcs
@@ -150,8 +169,9 @@ def _decide(y: np.ndarray, x: np.ndarray, gain: np.ndarray, arcs: np.ndarray, ti
     out = np.where(_outside(y, x, tile, bits, shift), arcs, 0)
     within = np.where(g.beside(), arcs, 0)
     pull = out.sum(0)
-    low = _closed_cut(g, gain + pull, within)
-    high = _closed_cut(g, gain - pull, within) if pull.any() else low
+    plain, rest, links = _outweighed(g, gain, pull, within)
+    low = _closed_cut(g, rest + pull * (plain == 0), links) | (plain < 0)
+    high = _closed_cut(g, rest - pull * (plain == 0), links) | (plain < 0) if pull[plain == 0].any() else low
     label = np.where(low == high, np.where(low, 255, 0), -1)
     # The arcs of a decided pixel within the tile become costs of the other end.
     side = g.spread(np.where(label < 0, 0, np.where(label > 0, -1, 1)))
@@ -193,9 +213,10 @@ _OPEN = [T.StructField("_gain", T.LongType()), T.StructField("_arcs", T.ArrayTyp
 
 
 def _dealt(rows: DataFrame, bits: int, shift: tuple[int, int]):
-    """Rows by the tiles of a shifted tiling."""
+    """Rows by the tiles of a shifted tiling.  Open pixels are few bytes in many tiles, so
+    they go to the session's number of partitions, too."""
     tiles = {f"_t{c}": F.shiftright(F.col(c) + s, bits) for c, s in zip("yx", shift)}
-    return rows.withColumns(tiles).groupBy(*tl.TILE)
+    return tl.to_tiles(rows.withColumns(tiles)).groupBy(*tl.TILE)
 
 
 def _tilings(bits: int) -> list[tuple[int, int]]:

@@ -38,36 +38,36 @@ def complete_scenes(pixels: DataFrame, bands: int = 8) -> DataFrame:
 
 def rough_masks(grey: DataFrame, min_area: int = MIN_BLOB, stroke: int | None = None) -> DataFrame:
     """Local binarisation as ``label`` without blobs of up to ``min_area`` pixels,
-    and as ``base`` without isolated blobs."""
-    return clean_blobs(materialise(binarise_local(grey, stroke=stroke).select(*PIXEL, "label")), min_area)
+    and as ``base`` without isolated blobs.  Bands of ``grey`` stay beside them."""
+    return clean_blobs(materialise(binarise_local(grey, stroke=stroke).drop("value", "contrast")), min_area)
 
 
-def score_scene(signal: DataFrame, masks: DataFrame) -> DataFrame:
-    """Signal and masks with the coherence score of the spectrally consistent foreground."""
-    return ace_score(flag_outliers(materialise(signal.join(masks, PIXEL))))
+def score_scene(masked: DataFrame) -> DataFrame:
+    """Signal with masks and the coherence score of the spectrally consistent foreground."""
+    return ace_score(flag_outliers(materialise(masked.dropna(subset=PIXEL))))
 
 
-def _binarize(signal: DataFrame, grey: DataFrame, min_area: int, **refinement) -> DataFrame:
-    scored = score_scene(signal, rough_masks(grey, min_area)).select(*signal.columns, "base", "score")
+def _binarize(grey: DataFrame, min_area: int, **refinement) -> DataFrame:
+    scored = score_scene(rough_masks(grey, min_area)).select(*PIXEL, *band_columns(grey), "base", "score")
     features = B.feature_composite(scored).select(*PIXEL, "c0", "c1", "c2", "score", "base")
     return refine(features, **refinement).select(*PIXEL, "label")
 
 
 def _cleaned(signal: DataFrame) -> DataFrame:
-    return materialise(B.remove_background(signal).select(*PIXEL, "value"))
+    return materialise(B.remove_background(signal))
 
 
 def binarize_msi(pixels: DataFrame, bands: int = 8, min_area: int = MIN_BLOB, **refinement) -> DataFrame:
     """Foreground mask of multispectral scenes; incomplete scenes give no rows."""
     signal = materialise(B.to_signal(B.normalise_bands(complete_scenes(pixels, bands)), bands))
-    return _binarize(signal, _cleaned(signal), min_area, **refinement)
+    return _binarize(_cleaned(signal), min_area, **refinement)
 
 
 def binarize_rgb(pixels: DataFrame, min_area: int = MIN_BLOB, **refinement) -> DataFrame:
     """Foreground mask of colour scenes (three bands): the second band is
     thresholded as it is."""
     signal = materialise(B.complete_scenes(B.to_signal(B.normalise_bands(pixels), 3)))
-    return _binarize(signal, signal.select(*PIXEL, F.col("b2").alias("value")), min_area, **refinement)
+    return _binarize(signal.withColumn("value", F.col("b2")), min_area, **refinement)
 
 
 def ace_map(pixels: DataFrame, mask: DataFrame, deep: bool = False, turns: int = 1) -> DataFrame:
@@ -89,7 +89,7 @@ def ace_map(pixels: DataFrame, mask: DataFrame, deep: bool = False, turns: int =
 def visualize_msi(pixels: DataFrame, bands: int = 8, min_area: int = MIN_BLOB) -> DataFrame:
     """False-colour view: features with the score blended into the a-channel."""
     signal = materialise(B.to_signal(B.normalise_bands(complete_scenes(pixels, bands)), bands))
-    scored = score_scene(signal, rough_masks(_cleaned(signal), min_area))
+    scored = score_scene(rough_masks(_cleaned(signal), min_area))
     features = B.feature_composite(scored.select(*PIXEL, *band_columns(signal), "score"))
     shown = features.withColumn("score", F.coalesce("score", F.lit(0.0)))
     return B.pseudo_color(shown).select(*PIXEL, "r", "g", "b")

@@ -180,3 +180,26 @@ def test_missing_costs_and_colours(spark):
         "c1": F.when(F.col("x") != 3, F.col("c1"))})
     out = C.cut_labels(df, spark.createDataFrame([(0, 0.001)], "scene_id long, beta double"), 1)
     assert out.count() == 36 and out.filter("label IN (0, 255)").count() == 36
+
+
+def test_outweighed_pixels_are_taken_out_before_the_cut():
+    """A chain: a sure end decides its weak neighbour, a tie is background, and a pixel that
+    its arcs outweigh is left to the cut."""
+    g = C._Grid(np.zeros(5, int), np.arange(5))
+    gain = np.array([-30, 4, 5, 9, -1])
+    arcs = np.zeros((8, 5), np.int64)
+    arcs[4, :4] = arcs[3, 1:] = [10, 2, 5, 20]                  # to the right and to the left
+    side, rest, links = C._outweighed(g, gain, np.zeros(5, np.int64), arcs)
+    assert side.tolist() == [-1, -1, 0, 0, 0]                   # 4 - 10 + 2 < 0, then 5 - 2 < 5
+    assert rest.tolist() == [0, 0, 3, 9, -1]
+    assert links[4].tolist() == [0, 0, 5, 20, 0]
+    side, rest, links = C._outweighed(g, np.array([-30, 4, 7, 9, -1]), np.zeros(5, np.int64), arcs)
+    assert side.tolist() == [-1, -1, 1, 0, 0] and rest.tolist() == [0, 0, 0, 14, -1]   # 7 - 2 = 5: a tie
+
+
+def test_open_pixels_go_to_the_sessions_partitions(spark):
+    """They are few bytes, and a merged partition would take all tiles in one task."""
+    frame = spark.range(1).selectExpr("id AS scene_id", "0 AS y", "0 AS x")
+    dealt = C._dealt(frame, 4, (8, 8)).count()
+    plan = dealt._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan

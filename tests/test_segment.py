@@ -175,3 +175,11 @@ def test_every_scene_is_refined_as_if_alone(spark):
     for k, alone in enumerate(tables):
         assert (image(SG.refine(alone, kmeans_rounds=2), "label", k) == image(together, "label", k)).all()
     assert together.select("settled").distinct().count() == 1
+
+
+def test_masks_come_with_the_bands(spark):
+    """So the signal need not be joined to them by pixel."""
+    grey = signal(spark, CUBE).withColumn("value", F.col("b2"))
+    out = PL.rough_masks(grey, 3, stroke=2)
+    assert {"b1", "b8", "label", "base"} <= set(out.columns) and out.count() == INK.size
+    assert (image(out, "b5") == CUBE[..., 4]).all()
