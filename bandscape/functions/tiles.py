@@ -25,11 +25,12 @@ def tile_bits(reach: int | None = None) -> int:
     return bits
 
 
-def to_tiles(df: DataFrame) -> DataFrame:
-    """One shuffle on (scene, tile).  The number of partitions is the session's:
-    window and array work is bound by processors, while merging partitions at
-    run time would go by their bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE)
+def to_tiles(df: DataFrame, most: int | None = None) -> DataFrame:
+    """One shuffle on (scene, tile).  The number of partitions is the session's, or
+    ``most`` if that is less: window and array work is bound by processors, while
+    merging partitions at run time would go by their bytes."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts if most is None else min(parts, most), *TILE)
 
 
 def radius_bits(radius: Column) -> Column:

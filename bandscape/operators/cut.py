@@ -42,6 +42,8 @@ COLOURS = ["c0", "c1", "c2"]
 
 _STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]     # step i is opposite to 7 - i
 _FAR = 1 << 30
+# Open pixels for each partition: they lie in up to as many tiles, at some milliseconds a tile.
+OPEN_ROWS = 500
 
 
 class _Grid:
@@ -212,11 +214,11 @@ def _rows(part: pd.DataFrame, label, gain, arcs, needed) -> pd.DataFrame:
 _OPEN = [T.StructField("_gain", T.LongType()), T.StructField("_arcs", T.ArrayType(T.LongType()))]
 
 
-def _dealt(rows: DataFrame, bits: int, shift: tuple[int, int]):
+def _dealt(rows: DataFrame, bits: int, shift: tuple[int, int], size: int):
     """Rows by the tiles of a shifted tiling.  Open pixels are few bytes in many tiles, so
-    they go to the session's number of partitions, too."""
+    the number of partitions goes by their number ``size``."""
     tiles = {f"_t{c}": F.shiftright(F.col(c) + s, bits) for c, s in zip("yx", shift)}
-    return tl.to_tiles(rows.withColumns(tiles)).groupBy(*tl.TILE)
+    return tl.to_tiles(rows.withColumns(tiles), 1 + size // OPEN_ROWS).groupBy(*tl.TILE)
 
 
 def _tilings(bits: int) -> list[tuple[int, int]]:
@@ -262,7 +264,7 @@ def _open_labels(needed: DataFrame, bits: int) -> DataFrame:
                                                    np.stack(part["_arcs"]).T, key[1:], bits, shift)
                 return _rows(part, label, gain, arcs, still)[names]
 
-            rows = materialise(_dealt(needed, bits, shift).applyInPandas(step, schema))     # runs before shift changes
+            rows = materialise(_dealt(needed, bits, shift, size).applyInPandas(step, schema))     # runs before shift changes
             done.append(rows.filter("label IS NOT NULL AND NOT known").select(*PIXEL, "label"))
             needed = rows.filter("_arcs IS NOT NULL").select(
                 *PIXEL, F.col("label").isNotNull().alias("known"), "_gain", "_arcs")
@@ -270,7 +272,7 @@ def _open_labels(needed: DataFrame, bits: int) -> DataFrame:
             if not size:
                 break
     if size:
-        done.append(_pushed(needed, bits))
+        done.append(_pushed(needed, bits, size))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -295,8 +297,8 @@ def _turn(part: pd.DataFrame, tile: tuple[int, int], bits: int, shift: tuple[int
                        far=far[g.at].astype(np.int32), moved=far[g.at] != old)
 
 
-def _pushed(needed: DataFrame, bits: int) -> DataFrame:
-    """Labels of the open pixels by push-relabel over alternating tilings."""
+def _pushed(needed: DataFrame, bits: int, size: int) -> DataFrame:
+    """Labels of the ``size`` open pixels by push-relabel over alternating tilings."""
     bits = max(bits, 2)                                     # smaller tiles have no inner pixels
     none = F.lit(_FAR)
     state = needed.select(*PIXEL, "known", F.greatest("_gain", F.lit(0)).alias("excess"),
@@ -306,7 +308,7 @@ def _pushed(needed: DataFrame, bits: int) -> DataFrame:
     names = schema.names
 
     def round_(state: DataFrame, shift: tuple[int, int], push: bool) -> DataFrame:
-        return materialise(_dealt(state, bits, shift).applyInPandas(
+        return materialise(_dealt(state, bits, shift, size).applyInPandas(
             lambda key, part: _turn(part, key[1:], bits, shift, push)[names], schema))
 
     while True:

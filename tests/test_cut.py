@@ -197,9 +197,9 @@ def test_outweighed_pixels_are_taken_out_before_the_cut():
     assert side.tolist() == [-1, -1, 1, 0, 0] and rest.tolist() == [0, 0, 0, 14, -1]   # 7 - 2 = 5: a tie
 
 
-def test_open_pixels_go_to_the_sessions_partitions(spark):
+def test_partitions_of_open_pixels_go_by_their_number(spark):
     """They are few bytes, and a merged partition would take all tiles in one task."""
     frame = spark.range(1).selectExpr("id AS scene_id", "0 AS y", "0 AS x")
-    dealt = C._dealt(frame, 4, (8, 8)).count()
-    plan = dealt._jdf.queryExecution().toString()
-    assert "REPARTITION_BY_NUM" in plan
+    for size, parts in ((1, 1), (C.OPEN_ROWS, 2)):
+        plan = C._dealt(frame, 4, (8, 8), size).count()._jdf.queryExecution().toString()
+        assert f", {parts}), REPARTITION_BY_NUM" in plan or parts == 1 and "SinglePartition, REPARTITION_BY_NUM" in plan
